@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -14,47 +16,90 @@ from pyspark.sql import functions as F
 from quillmere.llm.shared import ready
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Distinct words a worker remembers; the rest is encoded again.
-CACHE = 400_000
+#: Distinct words that a worker remembers; the rest is encoded again.
+WORDS = 700_000
+#: Texts whose words this module cuts as the tokenizer does: printable ASCII and the Latin letters after it, between white
+#: space. Other texts go through the tokenizer word by word.
+_EASY = re.compile(r"[ \n\t\r!-~\u00c0-\u012f\u0132-\u024f]*")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    free = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes. No token crosses white space, so words are encoded once and kept."""
+    """Ids of a text as little-endian 32-bit bytes.
+
+    No token crosses white space or the border of a run of letters, so words and their parts are encoded once and kept.
+    """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, words: int = WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {"": b""}, cache
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.signs = self.tokenizer.model, byte_signs()
+        self.parts, self.odd, self.room = {"": b""}, {"": b""}, words
+        self.as_expected = self._as_expected(path)
+
+    @staticmethod
+    def _as_expected(path: str) -> bool:
+        """Whether the file's rules are the ones _PART stands for; else every word goes through the tokenizer itself."""
+        import json
+
+        with open(path) as f:
+            rules = json.load(f)
+        split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        lower = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        return lower == ["NFC", "Replace", "Lowercase"] and len(split) == 2 and split[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[1].get("type") == "ByteLevel"
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            written = part if part.isascii() else "".join(map(self.signs.__getitem__, part.encode()))
+            ids = _packed([t.id for t in self.model.tokenize(written)])
+            if len(self.parts) < self.room:
+                self.parts[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word in small letters."""
+        if word.isalpha():
+            return self._part(word)
+        if word[-1] in ",." and word[:-1].isalpha():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, _PART.findall(word)))
+
+    def _odd_word(self, word: str) -> bytes:
+        ids = self.odd.get(word)
+        if ids is None:
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if len(self.odd) < self.room // 4:
+                self.odd[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        more: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                more[w] = np.array(e.ids, dtype="<u4").tobytes()
-        room = self.cache - len(known)
-        if len(more) <= room:
-            known.update(more)
-            get = known.__getitem__
-        else:
-            known.update((w, more[w]) for w in fresh[: max(0, room)])
-            both = _Both(more)
-            both.base = known
-            get = both.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class _Both(dict):
-    base: dict
-
-    def __missing__(self, key):
-        return self.base[key]
+        out = []
+        for text in texts:
+            easy = self.as_expected and "<|" not in text and _EASY.fullmatch(text)
+            known, other = (self.parts, self._word) if easy else (self.odd, self._odd_word)
+            get = known.get
+            words = (text.lower() if easy else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            got = list(map(get, words))
+            if None in got:
+                got = [other(w) if g is None else g for w, g in zip(words, got)]
+            out.append(b"".join(got))
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def default_tokenizer() -> str:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from quillmere.llm.flac import op3_flac
+from quillmere.llm.langid import op1_langid
 from quillmere.llm.mixing import MIX_SQL, op5_poisson_mix
 from quillmere.llm.packing import op4_pack
+from quillmere.llm.pii import op2_pii
 from quillmere.llm.urls import URL_SQL, op7_url_filter
 
-QUERIES = {"op4_pack": op4_pack, "op5_poisson_mix": op5_poisson_mix, "op7_url_filter": op7_url_filter}
+QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_pii": op2_pii,
+    "op3_flac": op3_flac,
+    "op4_pack": op4_pack,
+    "op5_poisson_mix": op5_poisson_mix,
+    "op7_url_filter": op7_url_filter,
+}
 ORACLE_SQL = {"op5_poisson_mix": MIX_SQL, "op7_url_filter": URL_SQL}
