@@ -93,7 +93,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # -- the field ---------------------------------------------------------------------------------------------------------
 
 STATES = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
-_FORBIDDEN = -1e4
+#: The score of a forbidden step, and of a state that a word can't have (worse than any forbidden steps around it).
+_FORBIDDEN, _NEVER = -1e4, -1e6
 
 
 def _shape(word: str) -> str:
@@ -214,7 +215,7 @@ def fit(sentences: list[tuple[list[str], list[str]]], steps: int = 120, rate: fl
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
     if "plain" in index:  # a word without digit or @ is never part of a span of these kinds
-        params[0][index["plain"], 1:] = _FORBIDDEN
+        params[0][index["plain"], 1:] = _NEVER
     return Field(index, params[0][:-1], np.where(illegal, _FORBIDDEN, params[1]), np.where(illegal_start, _FORBIDDEN, params[2]))
 
 
