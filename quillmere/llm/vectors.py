@@ -85,7 +85,7 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     )
     full = spread.join(signed.join(reps.select("rep", "label", "v", "mult"), "rep").select("rep", "label", "v", "mult", "keys"), "rep")
 
-    def compare(key, pdf_table: pa.Table) -> pa.Table:
+    def compare(key, pdf_table):
         t = pdf_table.column("t")[0].as_py()
         left, right = (int(x) for x in key[0].as_py().split(":")[-2:])
         order = np.argsort(pdf_table.column("rep").to_numpy(), kind="stable")
