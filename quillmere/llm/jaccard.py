@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.components import components
@@ -407,6 +407,22 @@ def _one_each(spark: SparkSession, texts: DataFrame) -> DataFrame:
     return stash(spark, texts.mapInArrow(run, schema).dropDuplicates(["name"]), "jac-texts")
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The documents, all columns as they are, less those that another document with a smaller id of their component stands for.
+
+    Rows that repeat a kept doc_id leave one; rows without a doc_id stay.
+    """
+    judged = stash(spark, near_duplicates(spark, docs, percent), "jac-judged")
+    kept = judged.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count()
+    kept = stash(spark, kept, "jac-kept").withColumnRenamed("doc_id", "jac_kept_id")
+    out = docs.join(kept, docs["doc_id"] == kept["jac_kept_id"], "left")
+    rows = out.where("doc_id IS NULL OR jac_kept_id IS NOT NULL")
+    if kept.where("count > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+        rows = rows.withColumn("jac_row", F.row_number().over(order)).where("doc_id IS NULL OR jac_row = 1")
+    return rows.select(*[docs[c] for c in docs.columns])
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -163,6 +163,20 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, all columns as they are, without those that are `und` or score below `least`."""
+    ready(spark)
+    held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        judge = Identifier(held.value)
+        for batch in batches:
+            got = [judge(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
