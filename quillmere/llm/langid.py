@@ -67,7 +67,7 @@ class _Rows(dict):
         super().__init__(model.words)
         self.model, self.base = model, len(model.words)
         self.rows = np.zeros((self.base + room, max(1, len(model.langs))), "f4")
-        self.rows[: self.base] = model.word_rows
+        self.rows[: self.base, : len(model.langs)] = model.word_rows
         self.next = self.base
 
     def prepare(self, n: int) -> None:
