@@ -27,6 +27,8 @@ WORDS = 5
 CHUNK, BUCKET_ROWS, BUCKET_BYTES = 24_000_000, 2_000_000, 16_000_000
 #: Leaves of a hub that are verified in one group, and words that a worker remembers.
 HUB_LEAVES, CACHE = 1000, 600_000
+#: Sets of a block of a cluster.
+CLUSTER_BLOCK = 2000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEPS = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -236,7 +238,7 @@ def _index(docs: DataFrame, heavy, buckets: int, percent: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0, pairs of the first name of each shared signature with the others; kind 1, members of groups of three or more."""
+    """Of one bucket: kind 0, pairs of names that alone share a signature; kind 1, members of groups of three or more, by the group's hash."""
     sigs, names = [], []
     for blob in table.column("blob"):
         raw = blob.as_buffer()
@@ -262,12 +264,15 @@ def _meet(table: pa.Table) -> pa.Table:
     sig, name = sig[keep], name[keep]
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, "i8")
     size = np.diff(np.append(begin, len(sig)))
-    head = np.repeat(name[begin], size)
-    pairs = np.unique(np.stack([head, name], axis=1)[head != name], axis=0) if len(sig) else np.zeros((0, 2), "i8")
-    group = np.add.reduceat(mix(name.view("u8")), begin) + size.astype("u8") if len(sig) else np.zeros(0, "u8")
-    wide = np.repeat(np.where(size >= 3, mix(group), 0), size).view("i8")
+    two = begin[size == 2]
+    pairs = np.unique(np.stack([name[two], name[two + 1]], axis=1), axis=0) if len(two) else np.zeros((0, 2), "i8")
     big = np.repeat(size >= 3, size)
-    members = np.unique(np.stack([wide[big], name[big]], axis=1), axis=0) if big.any() else np.zeros((0, 2), "i8")
+    if big.any():
+        group = np.add.reduceat(mix(name.view("u8")), begin) + size.astype("u8")
+        wide = np.repeat(mix(group), size).view("i8")
+        members = np.unique(np.stack([wide[big], name[big]], axis=1), axis=0)
+    else:
+        members = np.zeros((0, 2), "i8")
     both = np.concatenate([pairs, members])
     return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], "i4"), [len(pairs), len(members)])), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
@@ -353,40 +358,127 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
 
 
 def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    sizes = first.select("name", "n")
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    """Verified links that connect all that any candidate pair connects.
 
-    def sized(pairs):
-        return pairs.join(sizes.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b").where(fits).select("a", "b")
-
-    stars = stash(spark, sized(met.where("kind = 0").select("a", "b").distinct()), "jac-stars")
-    members = met.where("kind = 1").select("a", "b").distinct()
-    taking = stars.select("a").union(stars.select("b")).union(members.select("b")).distinct().withColumnRenamed("a", "name")
-    chosen = first.join(taking, "name").select("name", "n", "doc")
+    First each set is held against one partner, the one that meets most others in its groups: of many near copies that is
+    the text they stem from, so a large group takes as many comparisons as it has members. Groups whose members are not in
+    one component after that are settled block by block.
+    """
+    sizes = first.select("name", "n")
+    twos = met.where("kind = 0").select("a", "b").distinct()
+    members = stash(spark, met.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("name")).distinct(), "jac-members")
+    central = members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").groupBy("name").agg(F.sum("c").alias("c"))
+    known = stash(spark, members.select("name").union(twos.select("a")).union(twos.select("b")).distinct().join(first.select("name", "n", "doc"), "name").join(central, "name", "left").select("name", "n", "doc", F.coalesce("c", F.lit(0)).alias("c")), "jac-known")
     # the text of one document for each set that has a candidate: whole rows of docs move once, here
-    owner = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    texts = stash(spark, owner.join(chosen, owner["doc"].eqNullSafe(chosen["doc"])).select("name", "n", "text"), "jac-texts")
+    owner = docs.select(F.col("doc_id").cast("long").alias("doc_ref"), F.col("text").cast("string").alias("text"))
+    texts = stash(spark, owner.join(known.drop("c"), owner["doc_ref"].eqNullSafe(known["doc"])).select("name", "n", "text"), "jac-texts")
     texts = _one_each(spark, texts)
     release(spark)
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
-    links = _verify(spark, texts, nearest.select("a", "b"), percent)
+    rank = lambda side, name: known.select(F.col("name").alias(side), F.struct("c", F.col("name").alias("who"), F.col("n").alias("size")).alias(name))
+    ranked = members.join(rank("name", "r"), "name")
+    hubs = ranked.groupBy("g").agg(F.max("r").alias("top"))
+    offers = ranked.join(hubs, "g").select("name", "r", "top")
+    both = twos.join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")
+    offers = offers.union(both.select("a", "ra", "rb")).union(both.select("b", "rb", "ra"))
+    fits = 100 * F.least("r.size", "top.size") >= percent * F.greatest("r.size", "top.size")
+    chosen = offers.where((F.col("r") < F.col("top")) & fits).groupBy(F.col("name").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.who").alias("a"), "b")
+    chosen = stash(spark, chosen, "jac-chosen")
+    links = _verify(spark, texts, chosen, percent)
     comps = components(spark, links)
     lab = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    rest = stars.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(apart).join(nearest, ["a", "b"], "left_anti").select("a", "b")
-    grouped = members.withColumnRenamed("a", "g").join(lab("b"), "b", "left").select("g", "b", F.coalesce("cb", "b").alias("c"))
-    mixed = grouped.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    open_ = stash(spark, grouped.join(mixed, "g").join(sizes.withColumnRenamed("name", "b"), "b").select("g", "b", "c", "n"), "jac-open")
-    left, right = open_.select("g", F.col("b").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), open_.select("g", "b", F.col("c").alias("cb"), F.col("n").alias("nb"))
-    cross = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
-    rest = stash(spark, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(cross).distinct().join(nearest, ["a", "b"], "left_anti"), "jac-rest")
-    if rest.limit(1).count():
-        links = links.union(_verify(spark, texts, rest, percent))
-    for used in (stars, open_):
+    grouped = members.join(lab("name"), "name", "left").select("g", "name", F.coalesce("cname", "name").alias("c"))
+    mixed = grouped.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("name").alias("least")).where("lo <> hi").select("g", "least")
+    tried = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = twos.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    edges = stash(spark, members.join(mixed, "g").select(F.col("least").alias("src"), F.col("name").alias("dst")).where("src <> dst").union(apart).distinct(), "jac-open")
+    if edges.limit(1).count():
+        clusters = components(spark, edges).withColumnRenamed("node", "name").withColumnRenamed("comp", "cluster")
+        placed = clusters.join(lab("name"), "name", "left").select("name", "cluster", F.coalesce("cname", "name").alias("part_of"))
+        links = links.union(_settle(spark, texts, placed, percent))
+    for used in (members, known, chosen, edges):
         unstash(spark, used)
     return links
 
 
+def _settle(spark: SparkSession, texts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within each cluster of candidates.
+
+    placed: name, cluster, part_of (its component). A cluster is compared block against block, each pair of blocks by
+    itself: its sets come together once and meet over an index of their elements. Only a spanning forest of links comes out.
+    """
+    count = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("int").alias("parts"))
+    dealt = placed.join(count, "cluster").withColumn("part", F.pmod(F.xxhash64("name"), "parts").cast("int"))
+    dealt = stash(spark, dealt.join(texts.select("name", "n"), "name"), "jac-dealt")
+    total = dealt.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    buckets = max(1, -(-8 * total // BUCKET_BYTES))
+
+    def ship(batches):
+        known = _Words()
+        for batch in batches:
+            for row in range(0, batch.num_rows, 200):
+                part = batch.slice(row, 200)
+                rows: list = []
+                for own, name, cluster, comp, at, parts in zip(shingle_sets([t or "" for t in part.column(0).to_pylist()], known), *(part.column(i).to_pylist() for i in range(1, 6))):
+                    raw = own.tobytes()
+                    for other in range(parts):
+                        i, j = min(at, other), max(at, other)
+                        rows.append((hash((cluster, i, j)) % buckets, cluster, i, j, at, name, comp, raw))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                for k in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500]), kinds)], names=["bucket", "cluster", "i", "j", "part", "name", "comp", "elements"])
+
+    shipped = texts.select("name", "text").join(dealt, "name").select("text", "name", "cluster", "part_of", "part", "parts").mapInArrow(ship, "bucket long, cluster long, i int, j int, part int, name long, comp long, elements binary")
+
+    def judge(table):
+        where: dict = {}
+        for row, key in enumerate(zip(*(table.column(k).to_pylist() for k in ("cluster", "i", "j")))):
+            where.setdefault(key, []).append(row)
+        parts, names, comps, raws = (table.column(k) for k in ("part", "name", "comp", "elements"))
+        out: list = []
+        for (_, i, j), rows in where.items():
+            out += _between([np.frombuffer(raws[r].as_buffer(), dtype="u8") for r in rows], np.array([names[r].as_py() for r in rows]), np.array([comps[r].as_py() for r in rows]), np.array([parts[r].as_py() for r in rows]), i, j, percent)
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+
+    return stash(spark, shipped.groupBy("bucket").applyInArrow(judge, "src long, dst long"), "jac-settled")
+
+
+def _between(sets: list, names: np.ndarray, comps: np.ndarray, part: np.ndarray, i: int, j: int, percent: int) -> list:
+    """Links between sets of part i and part j that join different components, none that earlier ones make needless."""
+    labels, comp = np.unique(comps, return_inverse=True)
+    most = np.bincount(comp).argmax()  # members of the largest component are not held against each other
+    root = np.arange(len(labels))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    values, code = np.unique(flat, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, edge = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for x in np.flatnonzero(comp != most).tolist():
+        own = code[begin[x] : begin[x + 1]]
+        own = own[edge[own + 1] - edge[own] > 1]
+        if not len(own):
+            continue
+        common = np.bincount(np.concatenate([holders[edge[k] : edge[k + 1]] for k in own.tolist()]), minlength=len(sets))
+        near = 100 * common >= percent * (sizes[x] + sizes - common)
+        if i != j:
+            near &= part != part[x]
+        for y in np.flatnonzero(near & (comp != comp[x])).tolist():
+            u, w = find(comp[x]), find(comp[y])
+            if u != w:
+                root[u] = w
+                out.append((int(names[x]), int(names[y])))
+    return out
+
+
 def _one_each(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """Rows that repeat a doc_id may bring a name twice; one of them is enough if its set is that of the name."""
 
