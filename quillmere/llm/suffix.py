@@ -27,7 +27,7 @@ from quillmere.llm.shared import ready, release, stash
 
 SPAN, GRAM = 100, 28
 #: Bytes parsed at once, bytes whose phrases are combined before they are sent, triggers and dictionary bytes of a reduce bucket.
-PARSE, CHUNK, BUCKET_TRIGGERS, BUCKET_BYTES = 3_000_000, 32_000_000, 900_000, 12_000_000
+PARSE, CHUNK, BUCKET_TRIGGERS, BUCKET_BYTES = 2_000_000, 32_000_000, 600_000, 3_000_000
 _POS = 28
 _C = 0x9E3779B97F4A7C15 | 1
 _NULL = -(1 << 63)
@@ -291,13 +291,14 @@ def suffix_ranks(flat: np.ndarray, span: int = SPAN) -> np.ndarray:
 def _dictionary(table):
     """One bucket of the dictionary: the windows of its phrases that occur earlier in the corpus, as runs (kind 1)."""
     ids, crcs, heads, texts = [], [], [], []
-    for i, c, blob in zip(table.column("doc_key").to_pylist(), table.column("crc").to_pylist(), table.column("blob").to_pylist()):
-        n = int.from_bytes(blob[:4], "little")
-        own = np.frombuffer(blob, dtype=_WANT, count=n, offset=4)
-        heads.append(own)
-        ids.append(np.full(n, i))
-        crcs.append(np.full(n, c))
-        texts.append(blob[4 + n * _WANT.itemsize :])
+    for blob in table.column("blob"):
+        raw = blob.as_buffer()
+        n = int(np.frombuffer(raw, dtype="i8", count=1)[0])
+        ids.append(np.frombuffer(raw, dtype="i8", count=n, offset=8))
+        crcs.append(np.frombuffer(raw, dtype="i8", count=n, offset=8 + 8 * n))
+        at = 8 + 16 * n
+        heads.append(np.frombuffer(raw, dtype=_WANT, count=n, offset=at))
+        texts.append(memoryview(raw)[at + n * _WANT.itemsize :])
     own, ids, crcs = np.concatenate(heads), np.concatenate(ids), np.concatenate(crcs)
     flat = np.frombuffer(b"".join(texts), dtype="u1")
     n = own["n"].astype("i8")
@@ -333,19 +334,26 @@ def _fetch(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 part = batch.slice(row, 500)
-                held: list = []
+                heads, ids, crcs, texts = [], [], [], []
                 for key, crc, text, blobs in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    own, raw = np.frombuffer(b"".join(blobs), dtype=_WANT), (text or "").encode()
-                    to = own["v"] % np.uint32(buckets)
-                    order = np.argsort(to, kind="stable")
-                    edge = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]]))
-                    for lo, hi in zip(edge, np.append(edge[1:], len(order))):
-                        mine = own[order[lo:hi]]
-                        text_of = b"".join(raw[a : a + n + SPAN - 1] for a, n in zip(mine["a"].tolist(), mine["n"].tolist()))
-                        held.append((int(to[order[lo]]), key, crc, len(mine).to_bytes(4, "little") + mine.tobytes() + text_of))
-                if held:
-                    b, k, c, x = zip(*held)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), 3, "i4")), pa.array(b, pa.int32()), pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())], names=_NAMES)
+                    own, raw = np.frombuffer(b"".join(blobs), dtype=_WANT), text.encode()
+                    heads.append(own)
+                    ids.append(np.full(len(own), key))
+                    crcs.append(np.full(len(own), crc))
+                    texts += [raw[a : a + n + SPAN - 1] for a, n in zip(own["a"].tolist(), own["n"].tolist())]
+                if not heads:
+                    continue
+                own, ids, crcs = np.concatenate(heads), np.concatenate(ids).astype("i8"), np.concatenate(crcs).astype("i8")
+                to = (own["v"] % np.uint32(buckets)).astype("i4")
+                order = np.argsort(to, kind="stable")
+                edge = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]]))
+                b, x = [], []
+                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+                    mine = order[lo:hi]
+                    b.append(int(to[mine[0]]))
+                    x.append(np.array([len(mine)], dtype="i8").tobytes() + ids[mine].tobytes() + crcs[mine].tobytes() + own[mine].tobytes() + b"".join(map(texts.__getitem__, mine.tolist())))
+                none = pa.array(np.zeros(len(b), "i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), 3, "i4")), pa.array(b, pa.int32()), none, none, pa.array(x, pa.binary())], names=_NAMES)
 
     lists = wanted.groupBy("doc_key", "crc").agg(F.collect_list("blob").alias("blobs"))
     return docs.join(lists, ["doc_key", "crc"]).select("doc_key", "crc", "text", "blobs").mapInArrow(run, _SCHEMA)
