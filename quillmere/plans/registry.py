@@ -1,7 +1,10 @@
-"""Queries by name, and the SQL each is checked against."""
+"""All queries of the library by name, and the SQL each is checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillmere.plans import tracks  # noqa: F401  (registers its queries)
+from quillmere.plans.base import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "paired_skill"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
