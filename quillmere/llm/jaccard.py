@@ -371,7 +371,7 @@ def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFram
     known = stash(spark, members.select("name").union(twos.select("a")).union(twos.select("b")).distinct().join(first.select("name", "n", "doc"), "name").join(central, "name", "left").select("name", "n", "doc", F.coalesce("c", F.lit(0)).alias("c")), "jac-known")
     # the text of one document for each set that has a candidate: whole rows of docs move once, here
     owner = docs.select(F.col("doc_id").cast("long").alias("doc_ref"), F.col("text").cast("string").alias("text"))
-    texts = stash(spark, owner.join(known.drop("c"), owner["doc_ref"].eqNullSafe(known["doc"])).select("name", "n", "text"), "jac-texts")
+    texts = stash(spark, owner.join(known.drop("c").hint("merge"), owner["doc_ref"].eqNullSafe(known["doc"])).select("name", "n", "text"), "jac-texts")
     texts = _one_each(spark, texts)
     release(spark)
     rank = lambda side, name: known.select(F.col("name").alias(side), F.struct("c", F.col("name").alias("who"), F.col("n").alias("size")).alias(name))
@@ -386,16 +386,20 @@ def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFram
     links = _verify(spark, texts, chosen, percent)
     comps = components(spark, links)
     lab = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    grouped = members.join(lab("name"), "name", "left").select("g", "name", F.coalesce("cname", "name").alias("c"))
-    mixed = grouped.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("name").alias("least")).where("lo <> hi").select("g", "least")
+    # what is still open, as edges between components: a component is one node, however many sets it has
+    grouped = members.join(hubs.select("g", F.col("top.who").alias("who")), "g").join(lab("name"), "name", "left").select("g", "name", "who", F.coalesce("cname", "name").alias("c"))
+    mixed = grouped.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("name") == F.col("who"), F.col("c"))).alias("centre")).where("lo <> hi").select("g", "centre")
     tried = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = twos.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    edges = stash(spark, members.join(mixed, "g").select(F.col("least").alias("src"), F.col("name").alias("dst")).where("src <> dst").union(apart).distinct(), "jac-open")
-    if edges.limit(1).count():
-        clusters = components(spark, edges).withColumnRenamed("node", "name").withColumnRenamed("comp", "cluster")
-        placed = clusters.join(lab("name"), "name", "left").select("name", "cluster", F.coalesce("cname", "name").alias("part_of"))
+    apart = twos.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb").join(tried, ["a", "b"], "left_anti")
+    unsettled = grouped.join(mixed, "g").select("name", "c", F.col("centre").alias("other"))
+    unsettled = unsettled.union(apart.select("a", "ca", "cb")).union(apart.select("b", "cb", "ca")).distinct()
+    unsettled = stash(spark, unsettled, "jac-open")
+    edges = unsettled.where("c <> other").select(F.col("c").alias("src"), F.col("other").alias("dst")).distinct()
+    if unsettled.limit(1).count():
+        clusters = components(spark, edges).select(F.col("node").alias("c"), F.col("comp").alias("cluster"))
+        placed = unsettled.select("name", "c").distinct().join(clusters, "c").select("name", "cluster", F.col("c").alias("part_of"))
         links = links.union(_settle(spark, texts, placed, percent))
-    for used in (members, known, chosen, edges):
+    for used in (members, known, chosen, unsettled):
         unstash(spark, used)
     return links
 
