@@ -79,7 +79,9 @@ def cross_correlation(rows: DataFrame, key: str, order: str, x: str, y: str, lag
     """Biased cross-correlation at lags 0 to `lags`: x against y that many steps on."""
     w = Window.partitionBy(key)
     z = rows.withColumn("_x", F.col(x) - F.avg(x).over(w)).withColumn("_y", F.col(y) - F.avg(y).over(w))
-    ahead = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("_y", k).over(w.orderBy(order)) if k else F.col("_y")).alias("v")) for k in range(lags + 1)]))
+    for k in range(lags + 1):
+        z = z.withColumn(f"_y{k}", F.lead("_y", k).over(w.orderBy(order)) if k else F.col("_y"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("v")) for k in range(lags + 1)]))
     return z.withColumn("_e", ahead).groupBy(key, F.col("_e.lag").alias("lag")).agg(ratio(F.sum(F.col("_x") * F.col("_e.v")) / F.count(F.lit(1)), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("ccf"))
 
 
