@@ -42,11 +42,9 @@ def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.
     else:
         share = F.pow(F.col("mix_rows").cast("double"), F.lit(float(alpha)))
     raw = counts.withColumn("mix_raw", share)
-    total = raw.agg(F.sum("mix_raw").alias("mix_sum"), F.sum("mix_rows").alias("mix_all"))
-    rate = F.lit(float(epochs)) * F.col("mix_all") * F.col("mix_raw") / F.col("mix_sum") / F.col("mix_rows")
-    return raw.crossJoin(total).select(  # total is one row, an aggregate
-        "mix_source", F.when(F.col("mix_sum") > 0, rate).otherwise(F.lit(0.0)).alias("mix_rate")
-    ).withColumn("mix_steps", poisson_steps(F.col("mix_rate")))
+    total = raw.agg(F.sum("mix_raw").alias("weight"), F.sum("mix_rows").alias("rows")).first()
+    scale = float(epochs) * total["rows"] / total["weight"] if total["weight"] else 0.0
+    return raw.select("mix_source", (F.lit(scale) * F.col("mix_raw") / F.col("mix_rows")).alias("mix_rate")).withColumn("mix_steps", poisson_steps(F.col("mix_rate")))
 
 
 def poisson_mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: str = "mix-1") -> DataFrame:
@@ -78,7 +76,7 @@ def poisson_mix(spark: SparkSession, docs: DataFrame, weights: dict | None = Non
 MIX_SQL = """
 WITH n AS (SELECT source, count(*) AS c FROM documents GROUP BY source),
 t AS (SELECT sum(sqrt(c::DOUBLE)) AS s, sum(c)::DOUBLE AS a FROM n),
-r AS (SELECT source, a * sqrt(c::DOUBLE) / s / c AS rate FROM n, t),
+r AS (SELECT source, a / s * sqrt(c::DOUBLE) / c AS rate FROM n, t),
 k AS (SELECT source, rate, i, CASE WHEN i = 0 THEN 0 ELSE ln(greatest(i, 1)::DOUBLE) END AS li FROM r, range(0, 100000) x(i) WHERE i <= ceil(rate + 12 * sqrt(rate) + 24)),
 p AS (SELECT source, rate, i, exp(-rate + i * ln(rate) - sum(li) OVER w) AS p FROM k WINDOW w AS (PARTITION BY source ORDER BY i)),
 f AS (SELECT source, rate, i, sum(p) OVER (PARTITION BY source ORDER BY i) AS cdf FROM p),
