@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import ready
+from quillmere.llm.shared import lean, ready
 
 BLOCK = 4096
 RATE = 8000
@@ -544,6 +544,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, flac: each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a stream."""
     ready(spark)
 
+    @lean
     def run(batches):
         for batch in batches:
             at = 0
@@ -563,6 +564,7 @@ def decode_blocks(spark: SparkSession, media: DataFrame, key: str = "doc_id", co
     ready(spark)
     kind = media.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches):
         for batch in batches:
             at = 0
@@ -591,6 +593,7 @@ def read_back(spark: SparkSession, media: DataFrame) -> DataFrame:
     """What is in the streams of encode_texts: sizes, digests and features, from the decoded samples."""
     ready(spark)
 
+    @lean
     def run(batches):
         for batch in batches:
             at = 0

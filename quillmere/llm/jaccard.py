@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.components import components
-from quillmere.llm.shared import ready, release, stash, unstash
+from quillmere.llm.shared import lean, ready, release, stash, unstash
 
 WORDS = 5
 #: Characters whose documents are handled together, rows of a reduce bucket, bytes of sets verified together.
-CHUNK, BUCKET_ROWS, BUCKET_BYTES = 24_000_000, 2_000_000, 16_000_000
+CHUNK, BUCKET_ROWS, BUCKET_BYTES = 16_000_000, 2_000_000, 16_000_000
 #: Leaves of a hub that are verified in one group, and words that a worker remembers.
-HUB_LEAVES, CACHE = 1000, 600_000
+HUB_LEAVES, CACHE = 1000, 300_000
 #: Sets of a block of a cluster.
 CLUSTER_BLOCK = 2000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -179,6 +179,7 @@ def _sets(texts, known):
 def name_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, n_shingles, name of its set; kind 1: an element (as doc_id), how many different sets of a chunk hold it."""
 
+    @lean
     def run(batches):
         known = _Words()
         for ids, texts in _chunks(batches):
@@ -204,6 +205,7 @@ def name_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _index(docs: DataFrame, heavy, buckets: int, percent: int) -> DataFrame:
     """bucket, blob: the signatures of each chunk's sets, dealt by signature; equal sets of a chunk are indexed once."""
 
+    @lean
     def run(batches):
         known, bands = _Words(), Bands(percent)
         elements, counts = heavy.value
@@ -287,6 +289,7 @@ def _verify(spark: SparkSession, texts: DataFrame, pairs: DataFrame, percent: in
     buckets = max(1, -(-8 * total // BUCKET_BYTES))
     lists = wanted.groupBy("name").agg(F.collect_list(F.struct("a", "salt", "hub")).alias("to"))
 
+    @lean
     def ship(batches):
         known = _Words()
         for batch in batches:
@@ -301,7 +304,7 @@ def _verify(spark: SparkSession, texts: DataFrame, pairs: DataFrame, percent: in
                     for k in range(0, len(rows), 500):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500]), kinds)], names=["bucket", "a", "salt", "hub", "name", "elements"])
 
-    shipped = texts.join(lists, "name").select("name", "text", "to").mapInArrow(ship, "bucket long, a long, salt int, hub boolean, name long, elements binary")
+    shipped = texts.join(lists.hint("merge"), "name").select("name", "text", "to").mapInArrow(ship, "bucket long, a long, salt int, hub boolean, name long, elements binary")
 
     def judge(table: pa.Table) -> pa.Table:
         keys = list(zip(table.column("a").to_pylist(), table.column("salt").to_pylist()))
@@ -416,6 +419,7 @@ def _settle(spark: SparkSession, texts: DataFrame, placed: DataFrame, percent: i
     total = dealt.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
     buckets = max(1, -(-8 * total // BUCKET_BYTES))
 
+    @lean
     def ship(batches):
         known = _Words()
         for batch in batches:
@@ -431,7 +435,7 @@ def _settle(spark: SparkSession, texts: DataFrame, placed: DataFrame, percent: i
                 for k in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500]), kinds)], names=["bucket", "cluster", "i", "j", "part", "name", "comp", "elements"])
 
-    shipped = texts.select("name", "text").join(dealt, "name").select("text", "name", "cluster", "part_of", "part", "parts").mapInArrow(ship, "bucket long, cluster long, i int, j int, part int, name long, comp long, elements binary")
+    shipped = texts.select("name", "text").join(dealt.hint("merge"), "name").select("text", "name", "cluster", "part_of", "part", "parts").mapInArrow(ship, "bucket long, cluster long, i int, j int, part int, name long, comp long, elements binary")
 
     def judge(table):
         where: dict = {}
@@ -486,6 +490,7 @@ def _between(sets: list, names: np.ndarray, comps: np.ndarray, part: np.ndarray,
 def _one_each(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """Rows that repeat a doc_id may bring a name twice; one of them is enough if its set is that of the name."""
 
+    @lean
     def run(batches):
         known = _Words()
         for batch in batches:
@@ -511,7 +516,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     judged = stash(spark, near_duplicates(spark, docs, percent), "jac-judged")
     kept = judged.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count()
     kept = stash(spark, kept, "jac-kept").withColumnRenamed("doc_id", "jac_kept_id")
-    out = docs.join(kept, docs["doc_id"] == kept["jac_kept_id"], "left")
+    out = docs.join(kept.hint("merge"), docs["doc_id"] == kept["jac_kept_id"], "left")
     rows = out.where("doc_id IS NULL OR jac_kept_id IS NOT NULL")
     if kept.where("count > 1").limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.mixing import unit
-from quillmere.llm.shared import ready
+from quillmere.llm.shared import lean, ready
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -93,7 +93,7 @@ class _Rows(dict):
 
 
 class Identifier:
-    def __init__(self, model: Model, room: int = 300_000, evidence: float = 40.0):
+    def __init__(self, model: Model, room: int = 200_000, evidence: float = 40.0):
         self.model, self.rows, self.evidence = model, _Rows(model, room), evidence
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -127,6 +127,7 @@ def train(spark: SparkSession, labelled: DataFrame, per_lang: int = 3000, vocabu
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
     sample = usable.where(unit(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
 
+    @lean
     def count(batches):
         for batch in batches:
             seen: dict = {}
@@ -154,6 +155,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     ready(spark)
     held = spark.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         judge = Identifier(held.value)
         for batch in batches:
@@ -168,6 +170,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: Model, least: f
     ready(spark)
     held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
+    @lean
     def run(batches):
         judge = Identifier(held.value)
         for batch in batches:

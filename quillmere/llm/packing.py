@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import ready
+from quillmere.llm.shared import lean, ready
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Distinct words that a worker remembers; the rest is encoded again.
-WORDS = 700_000
+WORDS = 500_000
 #: Texts whose words this module cuts as the tokenizer does: printable ASCII and the Latin letters after it, between white
 #: space. Other texts go through the tokenizer word by word.
 _EASY = re.compile(r"[ \n\t\r!-~\u00c0-\u012f\u0132-\u024f]*")
@@ -154,6 +154,7 @@ def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str | None = N
     ready(spark)
     path, tail = tokenizer or default_tokenizer(), np.array([end], dtype="<u4").tobytes()
 
+    @lean
     def run(batches):
         encoder = WordEncoder(path)
         for batch in batches:

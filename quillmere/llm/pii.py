@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import ready
+from quillmere.llm.shared import lean, ready
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: The field also finds keys and passwords; its spans of the base kinds are those that the patterns miss.
@@ -411,6 +411,7 @@ def find_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -
     ready(spark)
     held = spark.sparkContext.broadcast(field or train_field())
 
+    @lean
     def run(batches):
         find = Finder(held.value)
         for batch in batches:
@@ -428,6 +429,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -
     ready(spark)
     held, schema, at = spark.sparkContext.broadcast(field or train_field()), docs.schema, docs.columns.index("text")
 
+    @lean
     def run(batches):
         find = Finder(held.value)
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.langid import fold
 from quillmere.llm.mixing import unit
-from quillmere.llm.shared import ready
+from quillmere.llm.shared import lean, ready
 
 #: Words of a passage.
 PASSAGE = 64
@@ -142,6 +142,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")  # at most `most` rows of two numbers
 
+    @lean
     def encode(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
@@ -163,6 +164,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, net: Network, cut: float
     ready(spark)
     held = spark.sparkContext.broadcast(net)
 
+    @lean
     def run(batches):
         for batch in batches:
             begin = 0
