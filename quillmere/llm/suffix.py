@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.shared import ready, release, stash
+from quillmere.llm.shared import lean, ready, release, stash
 
 SPAN, GRAM = 100, 28
 #: Bytes parsed at once, bytes whose phrases are combined before they are sent, triggers and dictionary bytes of a reduce bucket.
@@ -182,6 +182,7 @@ def _send(parts: list[dict], ids: np.ndarray, crcs: np.ndarray, buckets: int):
 
 
 def _parse_all(docs: DataFrame, buckets: int) -> DataFrame:
+    @lean
     def run(batches):
         parts, ids, crcs, chunk = [], [], [], 0
         raws, size, base = [], 0, 0
@@ -330,6 +331,7 @@ def _dictionary(table):
 def _fetch(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """The bytes of the phrases that are wanted, dealt by trigger."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
@@ -365,14 +367,15 @@ def repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_key"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, int(total * 2 / (SPAN - GRAM + 2) / BUCKET_TRIGGERS) + 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that small inputs use all tasks too
+    buckets = max(least, int(total * 2 / (SPAN - GRAM + 2) / BUCKET_TRIGGERS) + 1)
     passed = stash(spark, _parse_all(keyed, buckets).groupBy("bucket").applyInArrow(_first_pass, _SCHEMA), "pfp-parse")
     release(spark)
     wanted = passed.where("kind = 2")
     size = wanted.agg(F.sum(F.length("blob"))).first()[0] or 0
     cover = passed.where("kind = 1").select("doc_key", "crc", "blob")
     if size:
-        pieces = max(1, int(size / _WANT.itemsize * (SPAN + 36) / BUCKET_BYTES) + 1)
+        pieces = max(least, int(size / _WANT.itemsize * (SPAN + 36) / BUCKET_BYTES) + 1)
         more = stash(spark, _fetch(keyed, wanted, pieces).groupBy("bucket").applyInArrow(_dictionary, _SCHEMA), "pfp-dictionary")
         release(spark)
         cover = cover.union(more.select("doc_key", "crc", "blob"))
@@ -399,6 +402,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     lists = cover.groupBy("doc_key", "crc").agg(F.collect_list("blob").alias("blobs"))
     joined = keyed.join(lists, ["doc_key", "crc"], "left").select("doc_id", "text", "blobs")
 
+    @lean
     def run(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 1000):
@@ -423,5 +427,5 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False)
 
 
 def op9_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of `documents`."""
-    return drop_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document of `documents`. The rows are small against the texts they come from, so they are gathered into fewer files."""
+    return drop_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).hint("rebalance")
