@@ -152,16 +152,18 @@ _SCHEMA = "kind int, bucket int, doc_key long, crc long, blob binary"
 
 def _rows(kind: int, bucket, ids, crcs, blobs) -> pa.RecordBatch:
     n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, "i4")), pa.array(np.full(n, bucket, "i4")), ids, crcs, blobs], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, "i4")), pa.array(np.broadcast_to(np.asarray(bucket, "i4"), n).copy()), ids, crcs, blobs], names=_NAMES)
 
 
 _NOTHING = pa.Table.from_batches([_rows(1, 0, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary()))])
 
 
-def _cover_rows(ids, crcs, s, n, bucket: int):
+def _cover_rows(ids, crcs, s, n, buckets: int = 1):
+    """Runs by document; what passes through a shuffle on the way is dealt by the document."""
     records = np.empty(len(s), dtype=_COVER)
     records["s"], records["n"] = s, n
-    return _rows(1, bucket, *_by_doc(ids, crcs, records))
+    ids, crcs, blobs = _by_doc(ids, crcs, records)
+    return _rows(1, crcs.to_numpy() % buckets, ids, crcs, blobs)
 
 
 def _send(parts: list[dict], ids: np.ndarray, crcs: np.ndarray, buckets: int):
@@ -169,7 +171,7 @@ def _send(parts: list[dict], ids: np.ndarray, crcs: np.ndarray, buckets: int):
     t = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     first, later = _firsts(t, ids[t["doc"]], crcs[t["doc"]])
     if len(later):
-        yield _cover_rows(ids[t["doc"][later]], crcs[t["doc"][later]], t["a"][later], t["n"][later], 0)
+        yield _cover_rows(ids[t["doc"][later]], crcs[t["doc"][later]], t["a"][later], t["n"][later], buckets)
     to = (t["deal"][first] % np.uint32(buckets)).astype("i4")
     order = np.argsort(to, kind="stable")
     first, edges = first[order], np.searchsorted(to[order], np.arange(buckets + 1))
@@ -246,7 +248,7 @@ def _first_pass(table):
         t = {k: np.concatenate(x) for k, x in parts.items()}
         first, later = _firsts(t, t["id"], t["crc"])
         if len(later):
-            out.append(pa.Table.from_batches([_cover_rows(t["id"][later], t["crc"][later], t["a"][later], t["n"][later], 0)]))
+            out.append(pa.Table.from_batches([_cover_rows(t["id"][later], t["crc"][later], t["a"][later], t["n"][later])]))
         v = t["v"][first]  # sorted
         same = np.zeros(len(v) + 1, dtype=bool)
         same[1:-1] = v[1:] == v[:-1]
@@ -324,7 +326,7 @@ def _dictionary(table):
         edge = np.flatnonzero(fresh)
         length = np.diff(np.append(edge, len(hit)))
         at = hit[edge]
-        return pa.Table.from_batches([_cover_rows(ids[phrase[at]], crcs[phrase[at]], start[at], length, 0)])
+        return pa.Table.from_batches([_cover_rows(ids[phrase[at]], crcs[phrase[at]], start[at], length)])
     return _NOTHING
 
 
