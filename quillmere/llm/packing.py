@@ -17,7 +17,7 @@ from quillmere.llm.shared import lean, ready
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Distinct words that a worker remembers; the rest is encoded again.
-WORDS = 500_000
+WORDS = 700_000
 #: Texts whose words this module cuts as the tokenizer does: printable ASCII and the Latin letters after it, between white
 #: space. Other texts go through the tokenizer word by word.
 _EASY = re.compile(r"[ \n\t\r!-~\u00c0-\u012f\u0132-\u024f]*")
