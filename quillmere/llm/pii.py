@@ -93,8 +93,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # -- the field ---------------------------------------------------------------------------------------------------------
 
 STATES = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
-#: The score of a forbidden step, and of a state that a word can't have (worse than any forbidden steps around it).
-_FORBIDDEN, _NEVER = -1e4, -1e6
+#: The score of a forbidden step.
+_FORBIDDEN = -1e4
+_HEADS, _CUES = ("AKIA", "ghp_"), frozenset(("password", "passwd", "token", "api_key", "secret", "key"))
 
 
 def _shape(word: str) -> str:
@@ -114,18 +115,21 @@ def _plain(word: str) -> bool:
 
 
 def _side(word: str | None) -> str:
-    return "edge" if word is None else "plain" if _plain(word) else _shape(word)
+    if word is None:
+        return "edge"
+    if not _plain(word):
+        return _shape(word)
+    return "cue" if word.lower().rstrip(":=") in _CUES else "plain" if any(c.isalpha() for c in word) else "sign"
 
 
 def features(word: str, before: str | None, after: str | None) -> list[str]:
-    if _plain(word):
-        return ["plain", "p=" + (_shape(word)[:2])]
+    """The word's own, and last the two of its neighbours."""
     digits = sum("0" <= c <= "9" for c in word)
     mixed = sum(1 for a, b in zip(word, word[1:]) if ("0" <= a <= "9") != ("0" <= b <= "9"))
     return [
         "s=" + _shape(word), "n=" + str(min(digits, 20)), "l=" + str(min(len(word) // 4, 10)), "d=" + str(min(word.count("."), 4)), "h=" + str(min(word.count("-"), 4)),
         "@=" + str("@" in word), "k=" + (word.split("=")[0].lower()[:12] if "=" in word else ""), "+=" + word[0] if word[0] in "+(" else "+", "m=" + str(min(mixed, 8)),
-        "u=" + str(word.strip(".,;:!?").isupper()), "b=" + _side(before), "a=" + _side(after),
+        "u=" + str(word.strip(".,;:!?").isupper()), "f=" + (word[:4] if word[:4] in _HEADS else ""), "p=" + str(_plain(word)), "b=" + _side(before), "a=" + _side(after),
     ]
 
 
@@ -136,19 +140,88 @@ class Field:
     step: np.ndarray
     start: np.ndarray
 
+    def own(self, word: str) -> np.ndarray:
+        """What the word itself gives each state, without its neighbours."""
+        return self.emit[[i for f in features(word, None, None)[:-2] if (i := self.index.get(f)) is not None]].sum(axis=0)
+
     def scores(self, word: str, before: str | None, after: str | None) -> np.ndarray:
         rows = [i for f in features(word, before, after) if (i := self.index.get(f)) is not None]
         return self.emit[rows].sum(axis=0)
 
-    def plain_is_outside(self) -> bool:
-        """Whether O beats every other state at a plain word whatever stands beside it, so that such words may be fixed at O."""
-        gain = np.where(self.step <= _FORBIDDEN / 2, -np.inf, self.step)
-        best_in = np.max(np.concatenate([gain, self.start[None, :]]) - np.concatenate([self.step[:, :1], self.start[None, :1]]), axis=0)
-        best_out = np.maximum(np.max(gain - self.step[:1, :], axis=1), 0.0)
-        head = self.emit[self.index["plain"]] if "plain" in self.index else np.zeros(len(STATES))
-        rest = [self.emit[i] for f, i in self.index.items() if f.startswith("p=")]
-        worst = max([float(np.max((head + r - head[0] - r[0] + best_in + best_out)[1:])) for r in rest + [np.zeros(len(STATES))]])
-        return worst < 0
+
+class _Scores(dict):
+    """What each word gives its own states, those of the word after it and those of the word before it."""
+
+    _ROOM, _LONGEST = 200_000, 64
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field = field
+
+    def __missing__(self, word: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, none = self.field, np.zeros(len(STATES))
+        sides = [f.emit[i] if (i := f.index.get(g + _side(word))) is not None else none for g in ("b=", "a=")]
+        got = (none if word is None else f.own(word), *sides)
+        if word is None or len(word) <= self._LONGEST:
+            if len(self) >= self._ROOM:
+                self.clear()
+            self[word] = got
+        return got
+
+
+class _Calm(dict):
+    """Whether a word loses at least _MARGIN wherever a span lies over it, whatever its neighbours, so that it may be skipped as O.
+
+    A span over a skipped word can be bettered: take all the calm words in a row there out of it. Each gains over _MARGIN,
+    where the span goes on over the next word that is not calm, its I becomes B, which costs at most `onward`. So a
+    word is O on every best path if `ahead` calm words follow it, or only calm ones to the end.
+    """
+
+    _MARGIN, _ROOM, _LONGEST = 1.5, 500_000, 64
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, self.alike = field, {}
+        emit, step, start, k = field.emit, field.step, field.start, len(STATES)
+        groups: dict = {}
+        for f, i in field.index.items():
+            groups.setdefault(f[:2], [np.zeros(k)]).append(emit[i])
+        self.base, self.close, onward = np.zeros(k), np.zeros(k), []
+        for s in range(1, k):
+            b, i = (s, s + 1) if STATES[s][0] == "B" else (s - 1, s)
+            nexts = [x for x in range(k) if STATES[x][0] != "I"]
+            enter = [step[a, s] - step[a, 0] for a in ((b, i) if s == i else range(k))]
+            enter += [start[s] - start[0]] if s == b else [step[b, i] - step[0, 0], step[i, i] - step[0, 0]]
+            self.base[s] = max(enter) + sum(max(r[s] - r[0] for r in groups.get(g, [np.zeros(k)])) for g in ("b=", "a="))
+            self.close[s] = max([0.0] + [step[s, c] - step[0, c] for c in nexts])
+            turn = sum(max(r[i] - r[b] for r in rows) for rows in groups.values())
+            onward.append(step[s, i] - step[0, b] + turn + max([0.0] + [step[i, c] - step[b, c] for c in [*nexts, i]]))
+        self.ahead = max(0, int(max(onward) / self._MARGIN))
+
+    @staticmethod
+    def _like(word: str) -> tuple:
+        """Words that are alike here have the same own features; short for small letters, a capital before and a mark after."""
+        head, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        rest = head[1:] if head[:1].isupper() else head
+        if len(word) <= 64 and rest.isalpha() and rest.islower():
+            return len(rest) < len(head), tail, min(len(word) // 4, 10)
+        return tuple(features(word, None, None)[:-2])
+
+    def __missing__(self, word: str) -> bool:
+        like = self._like(word)
+        calm = self.alike.get(like)
+        if calm is None:
+            e = self.field.own(word)
+            loss = (e - e[0] + self.base)[1:]
+            calm = bool((loss <= -self._MARGIN).all() and (loss + self.close[1:] < 0).all())
+            if len(self.alike) >= self._ROOM:
+                self.alike.clear()
+            self.alike[like] = calm
+        if len(word) <= self._LONGEST:
+            if len(self) >= self._ROOM:
+                self.clear()
+            self[word] = calm
+        return calm
 
 
 def viterbi(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -214,8 +287,6 @@ def fit(sentences: list[tuple[list[str], list[str]]], steps: int = 120, rate: fl
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
-    if "plain" in index:  # a word without digit or @ is never part of a span of these kinds
-        params[0][index["plain"], 1:] = _NEVER
     return Field(index, params[0][:-1], np.where(illegal, _FORBIDDEN, params[1]), np.where(illegal_start, _FORBIDDEN, params[2]))
 
 
@@ -227,6 +298,9 @@ def labelled_sentences(n: int = 500, seed: int = 5) -> list[tuple[list[str], lis
     letters = lambda k, up=False: "".join(chr((65 if up else 97) + int(c)) for c in rng.integers(0, 26, k))
     hexes = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
 
+    def mixed(k):
+        return pick([letters(k), letters(k, True), "".join(letters(1, rng.random() < 0.5) for _ in range(k))])
+
     def plain():
         w = letters(int(rng.integers(2, 11)))
         w = pick([w, w, w, w.capitalize(), w.upper()])
@@ -235,16 +309,18 @@ def labelled_sentences(n: int = 500, seed: int = 5) -> list[tuple[list[str], lis
     def card():
         d = digits(15)
         d = next(d + c for c in "0123456789" if luhn(d + c))
+        if rng.random() < 0.15:
+            return [d[:4], "-", d[4:8], "-", d[8:12], "-", d[12:]]
         return pick([[d], [d[:4], d[4:8], d[8:12], d[12:]], ["-".join((d[:4], d[4:8], d[8:12], d[12:]))]])
 
     makers = {
         "email": lambda: [f"{letters(int(rng.integers(3, 9)))}.{digits(2)}@{letters(4)}{pick(['', '3'])}.{letters(6)}.com"],
         "ip": lambda: [".".join(str(int(x)) for x in rng.integers(1, 256, 4))],
         "card": card,
-        "phone": lambda: pick([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(7)], ["+" + digits(11)]]),
-        "secret": lambda: pick([["AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))], [f"{pick(['password', 'passwd', 'token', 'api_key', 'secret'])}={hexes(int(rng.integers(16, 24)))}"], ["ghp_" + "".join(pick("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(36))]]),
+        "phone": lambda: pick([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(7)], [digits(3), "-", digits(3), "-", digits(4)], ["+" + digits(11)]]),
+        "secret": lambda: pick([[f"{pick(['password', 'passwd', 'token', 'api_key', 'secret'])}={mixed(int(rng.integers(16, 24)))}"], [pick([f"AKIA{letters(16, True)}", f"ghp_{mixed(36)}"])], ["AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))], [f"{pick(['password', 'passwd', 'token', 'api_key', 'secret'])}={hexes(int(rng.integers(16, 24)))}"], ["ghp_" + "".join(pick("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(36))]]),
     }
-    harmless = [lambda: [digits(int(rng.integers(1, 5)))], lambda: [f"{digits(1)}.{digits(2)}"], lambda: [f"20{digits(2)}-{digits(2)}-{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [digits(int(rng.integers(5, 15)))], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"({digits(4)})"], lambda: [letters(3) + digits(2)], lambda: [f"{digits(1)},{digits(3)}"], lambda: [f"page={digits(2)}"], lambda: [f"{digits(4)}-{digits(4)}"]]
+    harmless = [lambda: [digits(int(rng.integers(1, 5)))], lambda: [f"{digits(1)}.{digits(2)}"], lambda: [f"20{digits(2)}-{digits(2)}-{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [digits(int(rng.integers(5, 15)))], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"({digits(4)})"], lambda: [letters(3) + digits(2)], lambda: [f"{digits(1)},{digits(3)}"], lambda: [f"page={digits(2)}"], lambda: [f"{letters(int(rng.integers(2, 8)))}={letters(int(rng.integers(1, 20)))}"], lambda: [letters(int(rng.integers(11, 40)), rng.random() < 0.3)], lambda: [f"{letters(5)}{pick('-_/.')}{letters(7)}{pick('-_/.')}{letters(6)}"], lambda: [f"https://www.{letters(7)}.com/{letters(6)}"], lambda: [pick(["-", "--", "&", "*"])], lambda: [digits(2), "-", digits(2)], lambda: [f"{digits(4)}-{digits(4)}"]]
     out = []
     for _ in range(n):
         words, tags = [], []
@@ -293,53 +369,45 @@ def _holds(kind: str, found: str) -> bool:
 
 
 class Finder:
-    """All spans of texts, decoded in batches. Words fixed at O are skipped only where the field proves that exact."""
+    """All spans of texts, decoded in batches. Words are skipped only where the trained weights prove them O."""
 
     def __init__(self, field: Field):
-        self.field, self.skip = field, field.plain_is_outside()
+        self.field, self.skip, self.calm, self.known = field, True, _Calm(field), _Scores(field)
 
-    def _tokens(self, text: str):
-        """Token spans to decode, in runs of neighbours."""
+    def _runs(self, text: str):
+        """The words, their places, and the ranges of neighbours to decode."""
+        words = text.split()
+        if not words:
+            return words, [], []
         if not self.skip:
-            return [[(m.start(), m.end()) for m in _TOKEN.finditer(text)]] if text.strip() else []
-        runs, last = [], -1
-        for m in re.finditer("[0-9@]", text):
-            if m.start() < last:
-                continue
-            start = m.start()
-            while start > 0 and not text[start - 1].isspace():
-                start -= 1
-            token = _TOKEN.match(text, start)
-            if runs and not text[last:start].strip():
-                runs[-1].append((start, token.end()))
+            return words, [m.span() for m in _TOKEN.finditer(text)], [(0, len(words))]
+        calm = list(map(self.calm.__getitem__, words))
+        if all(calm):
+            return words, [], []
+        runs: list = []
+        for i in [i for i, c in enumerate(calm) if not c]:
+            begin = max(i - self.calm.ahead, 0)
+            if runs and begin <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], i + 1)
             else:
-                runs.append([(start, token.end())])
-            last = token.end()
-        return runs
-
-    @staticmethod
-    def _beside(text: str, start: int, end: int) -> tuple[str | None, str | None]:
-        """The tokens left and right; only whether there is one and whether it is plain matters to a run's edge."""
-        left = start
-        while left > 0 and text[left - 1].isspace():
-            left -= 1
-        right = _TOKEN.search(text, end)
-        return ("x" if left > 0 else None), ("x" if right else None)
+                runs.append((begin, i + 1))
+        return words, [m.span() for m in _TOKEN.finditer(text)], runs
 
     def __call__(self, texts: list[str]) -> list[tuple[list, list]]:
         """(base spans, all spans) of each text."""
         base = [base_spans(t) for t in texts]
         jobs: dict[int, list] = {}
         for i, text in enumerate(texts):
-            for run in self._tokens(text):
-                words = [text[s:e] for s, e in run]
-                left, right = self._beside(text, run[0][0], run[-1][1]) if self.skip else (None, None)
-                emit = np.stack([self.field.scores(w, words[j - 1] if j else left, words[j + 1] if j + 1 < len(words) else right) for j, w in enumerate(words)])
-                if left is not None:
+            words, places, runs = self._runs(text)
+            for begin, end in runs:
+                known = [self.known[words[j] if 0 <= j < len(words) else None] for j in range(begin - 1, end + 1)]
+                own, before, after = zip(*known)
+                emit = np.array(own[1:-1]) + np.array(before[:-2]) + np.array(after[2:])
+                if begin > 0:
                     emit[0] += self.field.step[0] - self.field.start
-                if right is not None:
+                if end < len(words):
                     emit[-1] += self.field.step[:, 0]
-                jobs.setdefault(len(words), []).append((i, run, emit))
+                jobs.setdefault(end - begin, []).append((i, places[begin:end], emit))
         more: list[list] = [[] for _ in texts]
         for group in jobs.values():
             for at in range(0, len(group), 2000):

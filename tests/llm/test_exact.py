@@ -85,6 +85,23 @@ def test_field_skips_only_what_it_may(field, texts):
     assert short(own) == full(own)
 
 
+def test_field_finds_keys_of_letters_only(field, texts):
+    rng = random.Random(7)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [f(k) for k in range(40) for f in (lambda _: "AKIA" + "".join(rng.choices(upper, k=16)), lambda _: "password=" + "".join(rng.choices(upper.lower(), k=20)), lambda _: "ghp_" + "".join(rng.choices(upper + upper.lower(), k=36)))]
+    short, full = pii.Finder(field), pii.Finder(field)
+    full.skip = False
+    found = short([f"der alte mann {k}, then" for k in keys])
+    assert [a for _, a in found] == [[(14, 14 + len(k), "secret")] for k in keys]
+    lone = "call 415 - 555 - 0134 now"
+    assert short([lone])[0][1] == [(5, 21, "phone")]
+    # what is skipped is what decoding every word gives
+    words = [w for t in texts.values() for w in (t or "").split()]
+    mixed = [" ".join(rng.choice((rng.choice(words), rng.choice(words), rng.choice(keys), "-", "(415)", "555-0134", "+1", "4111")) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    assert short(mixed) == full(mixed)
+    assert sum(not short.calm[w] for w in words) < 0.1 * len(words)
+
+
 def test_viterbi_against_all_paths(field):
     rng = np.random.default_rng(0)
     emit, k = rng.normal(size=(3, 4, len(pii.STATES))), len(pii.STATES)
