@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.mixing import unit
-from quillmere.llm.shared import lean, ready
+from quillmere.llm.shared import lean, ready, stash, unstash
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -116,13 +116,17 @@ class Identifier:
 def train(spark: SparkSession, labelled: DataFrame, per_lang: int = 3000, vocabulary: int = 80_000, max_langs: int = 500) -> Model:
     """Learns from text and lang of a bounded sample: about per_lang documents of each language, dealt by a hash of doc_id.
 
-    The driver receives the vocabulary most frequent words with their counts and nothing else.
+    Words are taken by their best rank in any language, so languages share the vocabulary evenly and what one does not fill
+    goes to the others. The driver receives these words with their counts and nothing else. More than max_langs languages
+    are an error; none is left out.
     """
     ready(spark)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = usable.groupBy("lang").count().limit(max_langs + 1).collect()
     if not sizes:
         return build([], [])
+    if len(sizes) > max_langs:
+        raise ValueError(f"the labelled documents have over {max_langs} languages; max_langs must be raised to learn them all")
     langs = sorted(r["lang"] for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
     sample = usable.where(unit(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
@@ -140,7 +144,14 @@ def train(spark: SparkSession, labelled: DataFrame, per_lang: int = 3000, vocabu
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
     cells = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{j}") for j, lang in enumerate(langs)]
-    top = counted.groupBy("word").agg(F.sum("n").alias("n"), *cells).where("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+    each = stash(spark, counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    # ranks come from the numbers of words by count, a small table as the sample is bounded; equal counts are spread over their ranks by a hash
+    higher = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = each.groupBy("lang", "n").count().select("lang", "n", F.col("count").alias("equal"), (F.sum("count").over(higher) - F.col("count")).alias("above"))
+    rank = F.col("above") + F.col("equal") * F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / (1 << 20)
+    ranked = each.join(F.broadcast(ranks), ["lang", "n"])
+    top = ranked.groupBy("word").agg(F.sum("n").alias("n"), F.min(rank).alias("rank"), *cells).where("n >= 2").orderBy("rank", F.desc("n"), "word").limit(vocabulary).toArrow()
+    unstash(spark, each)
     words = top.column("word").to_pylist()
     counts = np.stack([top.column(f"c{j}").to_numpy() for j in range(len(langs))], axis=1) if words else np.zeros((0, len(langs)))
     return build(langs, list(zip(words, counts)))

@@ -40,6 +40,18 @@ def test_langid_without_labels(spark, docs):
     assert {r.lang_pred for r in langid.identify(spark, docs, model).collect()} <= {"und"}
 
 
+def test_langid_shares_the_vocabulary(spark):
+    import string
+
+    rows = [(i, " ".join(a + b + "a" for a in string.ascii_lowercase for b in "bcdf"), "large") for i in range(30)] + [(100 + i, "öüä ßöü", "small") for i in range(2)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(spark, labelled, vocabulary=20)
+    assert {"öüä", "ßöü"} <= set(model.words) and len(model.words) == 20
+    assert langid.Identifier(model)("öüä ßöü")[0] == "small"
+    with pytest.raises(ValueError):
+        langid.train(spark, labelled, max_langs=1)
+
+
 def test_pii(spark, docs):
     got = pii.find_pii(spark, docs).collect()
     assert len(got) == _count(docs)
