@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmere.llm.components import components
 from quillmere.llm.shared import lean, ready, release, stash, unstash
@@ -334,6 +335,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     component; a null doc_id keeps a null component unless linked documents give one. Repeated rows get equal results; an
     empty table gives none; other columns are not read.
     """
+    own = F.when(F.col("n") > 0, F.coalesce("comp_doc", "doc_id")).otherwise(F.col("doc_id"))
+    return _judged(spark, docs, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, name of the set, and the smallest doc_id of its component with the smallest set of that doc_id."""
     ready(spark)
     named = name_sets(spark, docs)
     nodes = named.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "name")
@@ -351,13 +358,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
         release(spark)
         links = _links(spark, docs, met, first, percent)
     if links is None:
-        each = first.select("name", F.col("doc").alias("comp_doc"))
+        each = first.select("name", F.col("doc").alias("comp_doc"), F.col("name").alias("comp_name"))
     else:
         comps = components(spark, links)
-        tops = comps.join(first.select(F.col("name").alias("node"), "doc"), "node").groupBy("comp").agg(F.min("doc").alias("comp_doc"))
-        each = first.join(comps.join(tops, "comp").select(F.col("node").alias("name"), "comp_doc"), "name", "left").select("name", F.coalesce("comp_doc", "doc").alias("comp_doc"))
-    full = nodes.join(each, "name", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp_doc", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
+        tops = comps.join(first.select(F.col("name").alias("node"), "doc"), "node").groupBy("comp").agg(least.alias("top")).select("comp", F.col("top.doc").alias("comp_doc"), F.col("top.node").alias("comp_name"))
+        linked = comps.join(tops, "comp").select(F.col("node").alias("name"), "comp_doc", "comp_name")
+        each = first.join(linked, "name", "left").select("name", F.coalesce("comp_doc", "doc").alias("comp_doc"), F.coalesce("comp_name", "name").alias("comp_name"))
+    return nodes.join(each, "name", "left").select("doc_id", "n", "name", "comp_doc", "comp_name")
 
 
 def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFrame, percent: int) -> DataFrame:
@@ -508,20 +516,53 @@ def _one_each(spark: SparkSession, texts: DataFrame) -> DataFrame:
     return stash(spark, texts.mapInArrow(run, schema).dropDuplicates(["name"]), "jac-texts")
 
 
+def _with_names(docs: DataFrame) -> DataFrame:
+    """The documents with jac_n and jac_set, size and name of each row's own set."""
+    schema = StructType([*docs.schema.fields, StructField("jac_n", LongType()), StructField("jac_set", LongType())])
+    given = docs.withColumn("jac_text", F.col("text").cast("string"))
+
+    @lean
+    def run(batches):
+        known = _Words()
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(batch.num_columns - 1)]
+            own = [(len(x), set_name(x)) for x in _sets(texts, known)]
+            more = [pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
+
+    return given.mapInArrow(run, schema)
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, all columns as they are, less those that another document with a smaller id of their component stands for.
+    """The documents, all columns as they are, one row of each component: that with the smallest doc_id and, in it, set.
 
-    Rows that repeat a kept doc_id leave one; rows without a doc_id stay.
+    Rows of one doc_id with different sets are judged each by their own component. A component without any doc_id leaves
+    one row too. A text without words is its own component: it leaves one row per doc_id, and stays where that is null.
     """
-    judged = stash(spark, near_duplicates(spark, docs, percent), "jac-judged")
-    kept = judged.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count()
-    kept = stash(spark, kept, "jac-kept").withColumnRenamed("doc_id", "jac_kept_id")
-    out = docs.join(kept.hint("merge"), docs["doc_id"] == kept["jac_kept_id"], "left")
-    rows = out.where("doc_id IS NULL OR jac_kept_id IS NOT NULL")
-    if kept.where("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-        rows = rows.withColumn("jac_row", F.row_number().over(order)).where("doc_id IS NULL OR jac_row = 1")
-    return rows.select(*[docs[c] for c in docs.columns])
+    best = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("comp_doc")) & (F.col("name") == F.col("comp_name")))
+    judged = stash(spark, _judged(spark, docs, percent).select("doc_id", "n", "name", best.alias("best")), "jac-judged")
+    by_id = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if("best").alias("count"), (F.min("name") < F.max("name")).alias("several"))
+    kept = stash(spark, by_id.where("count > 0"), "jac-kept").withColumnRenamed("doc_id", "jac_kept_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[c.cast("string") for c in columns])
+    rows = docs.join(kept.where("NOT several").hint("merge"), docs["doc_id"] == F.col("jac_kept_id"))
+    if kept.where("count > 1 AND NOT several").limit(1).count():
+        rows = rows.withColumn("jac_row", F.row_number().over(Window.partitionBy("jac_kept_id").orderBy(order))).where("jac_row = 1")
+    rows = rows.select(*[docs[c] for c in docs.columns])
+    # the rows whose doc_id alone does not say which set they hold
+    parts = []
+    if judged.where("doc_id IS NULL").limit(1).count():
+        parts.append(docs.where("doc_id IS NULL"))
+    if kept.where("several").limit(1).count():
+        parts.append(docs.join(kept.where("several"), docs["doc_id"] == F.col("jac_kept_id"), "left_semi"))
+    for part in parts:
+        open_rows = stash(spark, _with_names(part), "jac-open")
+        chosen = judged.where("best").select(F.col("doc_id").alias("jac_id"), F.col("name").alias("jac_name")).distinct()
+        mine = open_rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("jac_id")) & (F.col("jac_set") == F.col("jac_name")), "left_semi")
+        bare = (F.col("jac_n") == 0) & F.col("doc_id").isNull()
+        one = mine.where(~bare).groupBy("doc_id", "jac_set").agg(F.min_by(F.struct(*columns), order).alias("jac_one")).select("jac_one.*")
+        rows = rows.unionByName(mine.where(bare).select(*columns)).unionByName(one)
+    return rows
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,16 @@ def test_jaccard(spark, docs):
     assert jaccard.keep_one_of_each(spark, docs).columns == docs.columns
 
 
+def test_one_of_each_by_text_and_not_by_id(spark):
+    a, b, c, d = (" ".join(f"{w}{chr(97 + i)}{chr(97 + i * 7 % 26)}" for i in range(20)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b + " end"), (4, c), (5, d), (4, d), (None, "zeta eta theta iota kappa"), (None, "zeta eta theta iota kappa"), (None, c), (None, ""), (None, None), (6, ""), (6, None), (7, d)]
+    rows += [(0, c), (0, a + " more of its own words that are far from any other text there is and so on and on again")]
+    got = jaccard.keep_one_of_each(spark, spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n string")).collect()
+    want = [(1, a), (1, b), (4, d), (None, "zeta eta theta iota kappa"), (None, ""), (None, None), *rows[-2:]]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got if r.doc_id != 6) == sorted((str(i), str(t)) for i, t in want)
+    assert sum(r.doc_id == 6 for r in got) == 1
+
+
 def test_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int, rep string, v string, n string"
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (9, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (10, [float("inf"), 1.0], 1)]
