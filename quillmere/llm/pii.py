@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from dataclasses import dataclass
@@ -96,22 +97,29 @@ STATES = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 #: The score of a forbidden step.
 _FORBIDDEN = -1e4
 _HEADS, _CUES = ("AKIA", "ghp_"), frozenset(("password", "passwd", "token", "api_key", "secret", "key"))
+#: Words that may stand between a cue and what it announces.
+_LINKS = frozenset(("is", "was", ":", "=", "->"))
+
+
+class _Signs(dict):
+    """The sign of each character by its code, as str.translate asks for it."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        s = self[code] = "0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return s
+
+
+_SIGNS, _RUNS, _DIGITS, _MARKED = _Signs(), re.compile(r"(.)\1+", re.S), re.compile("[0-9]+"), re.compile("[0-9@]")
 
 
 def _shape(word: str) -> str:
-    """Runs of capitals, small letters and digits as X, x and 0; at most 24 signs."""
-    out = []
-    for c in word[:64]:
-        s = "0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        if not out or out[-1] != s:
-            out.append(s)
-        if len(out) == 24:
-            break
-    return "".join(out)
+    """Runs of capitals, small letters and digits as X, x and 0, other runs as one of their signs."""
+    return _RUNS.sub(r"\1", word.translate(_SIGNS))
 
 
 def _plain(word: str) -> bool:
-    return "@" not in word and not any("0" <= c <= "9" for c in word)
+    return _MARKED.search(word) is None
 
 
 def _side(word: str | None) -> str:
@@ -119,17 +127,27 @@ def _side(word: str | None) -> str:
         return "edge"
     if not _plain(word):
         return _shape(word)
-    return "cue" if word.lower().rstrip(":=") in _CUES else "plain" if any(c.isalpha() for c in word) else "sign"
+    return "cue" if _cue(word) else "plain" if any(c.isalpha() for c in word) else "sign"
+
+
+def _cue(word: str) -> bool:
+    return word.lower().rstrip(":=") in _CUES
+
+
+def announcer(words: list[str], i: int) -> int:
+    """The place of the word that counts as the one before word i: the one before, or the cue before a link; -1 at the edge."""
+    return i - 2 if i >= 2 and words[i - 1].lower() in _LINKS and _cue(words[i - 2]) else i - 1
 
 
 def features(word: str, before: str | None, after: str | None) -> list[str]:
     """The word's own, and last the two of its neighbours."""
-    digits = sum("0" <= c <= "9" for c in word)
-    mixed = sum(1 for a, b in zip(word, word[1:]) if ("0" <= a <= "9") != ("0" <= b <= "9"))
+    runs = _DIGITS.findall(word)
+    digits = sum(map(len, runs))
+    mixed = 2 * len(runs) - ("0" <= word[0] <= "9") - ("0" <= word[-1] <= "9")  # borders of runs of digits
     return [
         "s=" + _shape(word), "n=" + str(min(digits, 20)), "l=" + str(min(len(word) // 4, 10)), "d=" + str(min(word.count("."), 4)), "h=" + str(min(word.count("-"), 4)),
         "@=" + str("@" in word), "k=" + (word.split("=")[0].lower()[:12] if "=" in word else ""), "+=" + word[0] if word[0] in "+(" else "+", "m=" + str(min(mixed, 8)),
-        "u=" + str(word.strip(".,;:!?").isupper()), "f=" + (word[:4] if word[:4] in _HEADS else ""), "p=" + str(_plain(word)), "b=" + _side(before), "a=" + _side(after),
+        "u=" + str(word.strip(".,;:!?").isupper()), "f=" + (word[:4] if word[:4] in _HEADS else ""), "p=" + str(not runs and "@" not in word), "b=" + _side(before), "a=" + _side(after),
     ]
 
 
@@ -149,6 +167,15 @@ class Field:
         return self.emit[rows].sum(axis=0)
 
 
+def _like(word: str) -> tuple:
+    """Words that are alike here have the same own features; short for small letters, a capital before and a mark after."""
+    head, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+    rest = head[1:] if head[:1].isupper() else head
+    if len(word) <= 64 and rest.isalpha() and rest.islower():
+        return len(rest) < len(head), tail, min(len(word) // 4, 10)
+    return tuple(features(word, None, None)[:-2])
+
+
 class _Scores(dict):
     """What each word gives its own states, those of the word after it and those of the word before it."""
 
@@ -156,12 +183,25 @@ class _Scores(dict):
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field = field
+        self.field, self.alike, self.sides = field, {}, {}
 
     def __missing__(self, word: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         f, none = self.field, np.zeros(len(STATES))
-        sides = [f.emit[i] if (i := f.index.get(g + _side(word))) is not None else none for g in ("b=", "a=")]
-        got = (none if word is None else f.own(word), *sides)
+        side = _side(word)
+        if side not in self.sides:
+            if len(self.sides) >= self._ROOM:
+                self.sides.clear()
+            self.sides[side] = [f.emit[i] if (i := f.index.get(g + side)) is not None else none for g in ("b=", "a=")]
+        if word is None:
+            own = none
+        else:
+            like = _like(word)
+            own = self.alike.get(like)
+            if own is None:
+                if len(self.alike) >= self._ROOM:
+                    self.alike.clear()
+                own = self.alike[like] = f.own(word)
+        got = (own, *self.sides[side])
         if word is None or len(word) <= self._LONGEST:
             if len(self) >= self._ROOM:
                 self.clear()
@@ -198,17 +238,8 @@ class _Calm(dict):
             onward.append(step[s, i] - step[0, b] + turn + max([0.0] + [step[i, c] - step[b, c] for c in [*nexts, i]]))
         self.ahead = max(0, int(max(onward) / self._MARGIN))
 
-    @staticmethod
-    def _like(word: str) -> tuple:
-        """Words that are alike here have the same own features; short for small letters, a capital before and a mark after."""
-        head, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        rest = head[1:] if head[:1].isupper() else head
-        if len(word) <= 64 and rest.isalpha() and rest.islower():
-            return len(rest) < len(head), tail, min(len(word) // 4, 10)
-        return tuple(features(word, None, None)[:-2])
-
     def __missing__(self, word: str) -> bool:
-        like = self._like(word)
+        like = _like(word)
         calm = self.alike.get(like)
         if calm is None:
             e = self.field.own(word)
@@ -240,10 +271,10 @@ def viterbi(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray
 
 
 def fit(sentences: list[tuple[list[str], list[str]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all sentences at once, forward and backward in log space."""
+    """Maximum likelihood by Adam over all sentences at once, forward and backward with scaling."""
     state = {s: i for i, s in enumerate(STATES)}
     index: dict = {}
-    rows = [[[index.setdefault(f, len(index)) for f in features(w, ws[i - 1] if i else None, ws[i + 1] if i + 1 < len(ws) else None)] for i, w in enumerate(ws)] for ws, _ in sentences]
+    rows = [[[index.setdefault(f, len(index)) for f in features(w, ws[announcer(ws, i)] if i else None, ws[i + 1] if i + 1 < len(ws) else None)] for i, w in enumerate(ws)] for ws, _ in sentences]
     n, length, wide, k = len(sentences), max(len(r) for r in rows), max(len(x) for r in rows for x in r), len(STATES)
     feats = np.full((n, length, wide), len(index))
     gold = np.zeros((n, length), dtype="i8")
@@ -260,27 +291,26 @@ def fit(sentences: list[tuple[list[str], list[str]]], steps: int = 120, rate: fl
     illegal_start = np.array([s[0] == "I" for s in STATES])
     params = [np.zeros((len(index) + 1, k)), np.zeros((k, k)), np.zeros(k)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    eye = np.eye(k)
+    eye, used = np.eye(k), feats[live].ravel()
     for it in range(1, steps + 1):
         step, start = np.where(illegal, _FORBIDDEN, params[1]), np.where(illegal_start, _FORBIDDEN, params[2])
         emit = params[0][feats].sum(axis=2)
-        alpha, beta = np.empty_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0] + start
-        for t in range(1, length):
-            a = np.logaddexp.reduce(alpha[:, t - 1, :, None] + step[None], axis=1) + emit[:, t]
-            alpha[:, t] = np.where(live[:, t, None], a, alpha[:, t - 1])
+        # forward and backward sums, scaled to 1 at each place
+        local, along = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(step)
+        alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.ones((n, length, 1))
+        for t in range(length):
+            a = local[:, t] * (alpha[:, t - 1] @ along if t else np.exp(start))
+            scale[:, t] = np.where(live[:, t, None], a.sum(axis=1, keepdims=True), 1.0)
+            alpha[:, t] = np.where(live[:, t, None], a / scale[:, t], alpha[:, t - 1] if t else a)
+        ahead = local / scale
         for t in range(length - 2, -1, -1):
-            b = np.logaddexp.reduce(step[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(live[:, t + 1, None], b, 0.0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        node = np.exp(alpha + beta - total[:, None, None]) * live[:, :, None]
+            beta[:, t] = np.where(live[:, t + 1, None], (ahead[:, t + 1] * beta[:, t + 1]) @ along.T, 1.0)
+        node = alpha * beta * live[:, :, None]
         away = node - eye[gold] * live[:, :, None]
-        g_emit = np.zeros_like(params[0])
-        np.add.at(g_emit, feats.reshape(-1, wide).T, away.reshape(-1, k)[None])
+        g_emit = np.stack([np.bincount(used, weights=np.repeat(away[live][:, j], wide), minlength=len(index) + 1) for j in range(k)], axis=1)
         g_emit[-1] = 0
         pair = live[:, 1:]
-        both = np.exp(alpha[:, :-1, :, None] + step[None, None] + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]) * pair[:, :, None, None]
-        g_step = both.sum(axis=(0, 1))
+        g_step = along * ((alpha[:, :-1] * pair[:, :, None]).reshape(-1, k).T @ (ahead * beta)[:, 1:].reshape(-1, k))
         np.subtract.at(g_step, (gold[:, :-1][pair], gold[:, 1:][pair]), 1.0)
         for p, g, (m, v) in zip(params, (g_emit, np.where(illegal, 0, g_step), np.where(illegal_start, 0, away[:, 0].sum(axis=0))), moments):
             g = g / n + decay * p
@@ -320,7 +350,15 @@ def labelled_sentences(n: int = 500, seed: int = 5) -> list[tuple[list[str], lis
         "phone": lambda: pick([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(7)], [digits(3), "-", digits(3), "-", digits(4)], ["+" + digits(11)]]),
         "secret": lambda: pick([[f"{pick(['password', 'passwd', 'token', 'api_key', 'secret'])}={mixed(int(rng.integers(16, 24)))}"], [pick([f"AKIA{letters(16, True)}", f"ghp_{mixed(36)}"])], ["AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))], [f"{pick(['password', 'passwd', 'token', 'api_key', 'secret'])}={hexes(int(rng.integers(16, 24)))}"], ["ghp_" + "".join(pick("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(36))]]),
     }
-    harmless = [lambda: [digits(int(rng.integers(1, 5)))], lambda: [f"{digits(1)}.{digits(2)}"], lambda: [f"20{digits(2)}-{digits(2)}-{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [digits(int(rng.integers(5, 15)))], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"({digits(4)})"], lambda: [letters(3) + digits(2)], lambda: [f"{digits(1)},{digits(3)}"], lambda: [f"page={digits(2)}"], lambda: [f"{letters(int(rng.integers(2, 8)))}={letters(int(rng.integers(1, 20)))}"], lambda: [letters(int(rng.integers(11, 40)), rng.random() < 0.3)], lambda: [f"{letters(5)}{pick('-_/.')}{letters(7)}{pick('-_/.')}{letters(6)}"], lambda: [f"https://www.{letters(7)}.com/{letters(6)}"], lambda: [pick(["-", "--", "&", "*"])], lambda: [digits(2), "-", digits(2)], lambda: [f"{digits(4)}-{digits(4)}"]]
+    def announced():
+        """A cue and what follows it: a key, or a word like any other."""
+        cue, link = pick(["password", "token", "secret", "key", "passwd", "Password", "Token"]), pick([["is"], [":"], ["="], ["was"], []])
+        head = [cue + pick([":", ""]), *link] if link else [cue + ":"]
+        if rng.random() < 0.5:
+            return head + [mixed(int(rng.integers(16, 30)))], ["O"] * len(head) + ["B-secret"]
+        return head + [plain()], ["O"] * (len(head) + 1)
+
+    harmless = [lambda: [digits(int(rng.integers(1, 5)))], lambda: [f"{digits(1)}.{digits(2)}"], lambda: [f"20{digits(2)}-{digits(2)}-{digits(2)}"], lambda: [f"{digits(2)}:{digits(2)}"], lambda: [digits(int(rng.integers(5, 15)))], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"({digits(4)})"], lambda: [letters(3) + digits(2)], lambda: [f"{digits(1)},{digits(3)}"], lambda: [f"page={digits(2)}"], lambda: [f"{letters(int(rng.integers(2, 8)))}={letters(int(rng.integers(1, 20)))}"], lambda: [letters(int(rng.integers(11, 40)), rng.random() < 0.3)], lambda: [f"{letters(5)}{pick('-_/.')}{letters(7)}{pick('-_/.')}{letters(6)}"], lambda: [f"https://www.{letters(7)}.com/{letters(6)}"], lambda: [pick(["-", "--", "&", "*"])], lambda: [digits(2), "-", digits(2)], lambda: [pick(["ISBN", "isbn"]), f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"], lambda: [f"{digits(4)}-{digits(4)}"]]
     out = []
     for _ in range(n):
         words, tags = [], []
@@ -328,7 +366,10 @@ def labelled_sentences(n: int = 500, seed: int = 5) -> list[tuple[list[str], lis
             for _ in range(int(rng.integers(0, 4))):
                 words.append(plain())
                 tags.append("O")
-            if rng.random() < 0.55:
+            if rng.random() < 0.1:
+                own, said = announced()
+                tags += said
+            elif rng.random() < 0.55:
                 kind = pick(KINDS)
                 own = makers[kind]()
                 if rng.random() < 0.3:
@@ -400,9 +441,10 @@ class Finder:
         for i, text in enumerate(texts):
             words, places, runs = self._runs(text)
             for begin, end in runs:
-                known = [self.known[words[j] if 0 <= j < len(words) else None] for j in range(begin - 1, end + 1)]
-                own, before, after = zip(*known)
-                emit = np.array(own[1:-1]) + np.array(before[:-2]) + np.array(after[2:])
+                known = self.known
+                own, after = [known[words[j]][0] for j in range(begin, end)], [known[words[j] if j < len(words) else None][2] for j in range(begin + 1, end + 1)]
+                before = [known[words[b] if (b := announcer(words, j)) >= 0 else None][1] for j in range(begin, end)]
+                emit = np.array(own) + np.array(before) + np.array(after)
                 if begin > 0:
                     emit[0] += self.field.step[0] - self.field.start
                 if end < len(words):
@@ -447,10 +489,43 @@ def masked(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
+def labelled_table(spark: SparkSession, n: int = 500, seed: int = 5) -> DataFrame:
+    """words, tags: the labelled table that train_field learns from unless it is given another."""
+    return spark.createDataFrame(labelled_sentences(n, seed), "words array<string>, tags array<string>")
+
+
+def _spans(tags) -> set:
+    out, start = set(), None
+    for i, t in enumerate([*tags, "O"]):
+        if start is not None and not t.startswith("I-"):
+            out.add((start, i, tags[start][2:]))
+            start = None
+        if t.startswith("B-"):
+            start = i
+    return out
+
+
+def evaluate(field: Field, sentences: list) -> dict:
+    """Precision and recall of whole spans by kind, over labelled sentences that were not learned from."""
+    hit, said, real = ({k: 0 for k in KINDS} for _ in range(3))
+    for words, tags in sentences:
+        emit = np.stack([field.scores(w, words[announcer(words, i)] if i else None, words[i + 1] if i + 1 < len(words) else None) for i, w in enumerate(words)])
+        got, want = _spans([STATES[p] for p in viterbi(emit[None], field.step, field.start)[0]]), _spans(list(tags))
+        for counts, spans in ((hit, got & want), (said, got), (real, want)):
+            for _, _, kind in spans:
+                counts[kind] += 1
+    return {k: (hit[k] / max(1, said[k]), hit[k] / max(1, real[k])) for k in KINDS}
+
+
+@functools.lru_cache(maxsize=1)
+def _default_field() -> Field:
+    return fit(labelled_sentences())
+
+
 def train_field(labelled: DataFrame | None = None, most: int = 20_000) -> Field:
-    """labelled: words array<string>, tags array<string>, a small table; without it one made by rule."""
+    """labelled: words array<string>, tags array<string>, a small table; without it that of labelled_table, learned once a process."""
     if labelled is None:
-        return fit(labelled_sentences())
+        return _default_field()
     rows = labelled.select("words", "tags").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the labelled table has over {most} rows; it is meant to be small")
@@ -473,8 +548,8 @@ def _parts(batch, column, most: int = 2_000_000):
 def find_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, counts and digest of the fixed patterns' spans, and all spans, for every document.
 
-    n_email, n_ip, n_card and n_phone count the patterns' spans (those in base_sha256). The field's spans never overlap
-    one of them. A null text is empty; repeated rows are searched each; an empty table gives none; other columns are not read.
+    n_email, n_ip, n_card and n_phone count the patterns' spans (those in base_sha256), n_spans counts all. The field's
+    spans never overlap one of the patterns'. A null text is empty; repeated rows are searched each; an empty table gives none; other columns are not read.
     """
     ready(spark)
     held = spark.sparkContext.broadcast(field or train_field())
@@ -487,9 +562,9 @@ def find_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -
                 got = find(texts)
                 counts = [pa.array([sum(k == kind for _, _, k in b) for b, _ in got], pa.int64()) for kind in BASE_KINDS]
                 sums = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *counts, pa.array(sums), pa.array([joined(a) for _, a in got], pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *counts, pa.array(sums), pa.array([joined(a) for _, a in got], pa.string()), pa.array([len(a) for _, a in got], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> DataFrame:
