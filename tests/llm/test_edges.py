@@ -70,9 +70,32 @@ def test_packing(spark, docs):
 
 
 def test_mixing(spark, docs):
-    got = mixing.poisson_mix(spark, docs, epochs=3.0)
-    assert [c for c in got.columns if c not in ("copy_no", "mix_rate", "mix_key")] == [c for c in docs.columns if c != "copy_no"]
-    got.collect()
+    """Input columns keep names and values, the gained ones make way; no row comes from nowhere."""
+    given = docs.withColumn("mix_copies", F.lit("p")).withColumn("mix_source", F.lit("q")).withColumn("mix_steps", F.lit("r")).withColumn("MIX_KEY", F.lit("s"))
+    got = mixing.poisson_mix(spark, given, epochs=3.0)
+    assert got.columns == [*given.columns, "copy_no_", "mix_rate", "mix_key_"]
+    rows, known = got.collect(), {tuple(r) for r in given.collect()}
+    assert all(tuple(r)[: len(given.columns)] in known for r in rows)
+    copies: dict = {}
+    for r in rows:
+        copies.setdefault(tuple(r)[: len(given.columns)], []).append(r.copy_no_)
+    assert bool(rows) == bool(known)
+    for row, own in copies.items():
+        many = sum(tuple(r) == row for r in given.collect())
+        assert sorted(own) == sorted(list(range(len(own) // many)) * many)
+
+
+def test_mixing_without_ids(spark):
+    """Rows without a doc_id are drawn and placed each by itself; a rate in the thousands is listed in blocks."""
+    docs = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('t', id) AS text", "'a' AS source")
+    got = mixing.poisson_mix(spark, docs).collect()
+    counts: dict = {}
+    for r in got:
+        counts[r.text] = counts.get(r.text, 0) + 1
+    assert abs(len(got) - 3000) < 300 and 1000 < sum(c == 1 for c in counts.values()) < 1200  # 3000 / e
+    assert len({r.mix_key for r in got}) == len(got)
+    steps = spark.range(1).select(mixing.poisson_steps(F.lit(9000.0))).first()[0]
+    assert abs(steps[9000] - 0.5028) < 1e-3 and abs(steps[-1] - 1) < 1e-9 and steps == sorted(steps)
 
 
 def test_quality(spark, docs):
