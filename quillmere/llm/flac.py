@@ -84,19 +84,12 @@ def _shifted(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A stream for each payload; none may be empty."""
-    flat = (np.frombuffer(b"".join(payloads), dtype="u1") ^ 0x80).view("i1").astype("i4")
-    starts, sizes, owner, number = [], [], [], []
-    at = 0
-    for i, p in enumerate(payloads):
-        for k, b in enumerate(range(0, len(p), BLOCK)):
-            starts.append(at + b)
-            sizes.append(min(BLOCK, len(p) - b))
-            owner.append(i)
-            number.append(k)
-        at += len(p)
-    starts, sizes = np.array(starts), np.array(sizes)
+def _frames(blocks: list[tuple[int, bytes]]) -> list[bytes]:
+    """The frames of blocks of samples, each with its number in its stream."""
+    number = [n for n, _ in blocks]
+    flat = (np.frombuffer(b"".join(x for _, x in blocks), dtype="u1") ^ 0x80).view("i1").astype("i4")
+    sizes = np.array([len(x) for _, x in blocks])
+    starts = np.cumsum(sizes) - sizes
     # the first samples of a block are warm-up: what a predictor of order o says of sample j < o is set to nothing
     warm = [starts + j for j in range(_LPC)]  # blocks hold 64 samples at least
 
@@ -188,20 +181,36 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         n = (width + 7) // 8
         packed[at : at + n] |= np.frombuffer((value << (-width % 8)).to_bytes(n, "big"), dtype="u1")
     sums = crc16s(packed, begin, frame_bytes)
-    out, f = [], 0
+    return [packed[b : b + n].tobytes() + struct.pack(">H", int(c)) for b, n, c in zip(begin.tolist(), frame_bytes.tolist(), sums.tolist())]
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A stream for each payload; none may be empty. About BATCH bytes are worked on at a time, inside long payloads too."""
+    frames: list = [[] for _ in payloads]
+    part, owners, total = [], [], 0
     for i, p in enumerate(payloads):
-        frames, points, offset = [], [], 0
-        while f < len(owner) and owner[f] == i:
-            b = packed[begin[f] : begin[f] + frame_bytes[f]].tobytes() + struct.pack(">H", int(sums[f]))
-            points.append((number[f] * BLOCK, offset, int(sizes[f])))
-            offset += len(b)
-            frames.append(b)
-            f += 1
-        least, most = min(map(len, frames)), max(map(len, frames))
-        signed = (np.frombuffer(p, dtype="u1") ^ 0x80).tobytes()
-        info = struct.pack(">HHBHBH", BLOCK, BLOCK, least >> 16, least & 0xFFFF, most >> 16, most & 0xFFFF) + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+        for k, at in enumerate(range(0, len(p), BLOCK)):
+            part.append((k, p[at : at + BLOCK]))
+            owners.append(i)
+            total += len(part[-1][1])
+            if total >= BATCH or (i == len(payloads) - 1 and at + BLOCK >= len(p)):
+                for owner, frame in zip(owners, _frames(part)):
+                    frames[owner].append(frame)
+                part, owners, total = [], [], 0
+    out = []
+    for p, own in zip(payloads, frames):
+        digest, points, offset = hashlib.md5(), [], 0
+        for at in range(0, len(p), BATCH):
+            digest.update((np.frombuffer(p[at : at + BATCH], dtype="u1") ^ 0x80).tobytes())
+        for k, frame in enumerate(own):
+            points.append((k * BLOCK, offset, min(BLOCK, len(p) - k * BLOCK)))
+            offset += len(frame)
+        least, most = min(map(len, own)), max(map(len, own))
+        info = struct.pack(">HHBHBH", BLOCK, BLOCK, least >> 16, least & 0xFFFF, most >> 16, most & 0xFFFF) + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + digest.digest()
         seek = b"".join(struct.pack(">QQH", *x) for x in points)
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(frames))
+        # a metadata block holds 24 bits of length, some 3.8 GB of samples; beyond, frames are found one after the other
+        table = b"\x83" + len(seek).to_bytes(3, "big") + seek if len(seek) < 1 << 24 else b""
+        out.append(b"fLaC" + (b"\x00" if table else b"\x80") + len(info).to_bytes(3, "big") + info + table + b"".join(own))
     return out
 
 
@@ -464,14 +473,22 @@ def decode(streams: list[bytes]) -> list:
         parts.append(data)
         base += len(data)
     whole = b"".join(parts)
-    fast = _fast_frames(whole, [(a, b) for _, a, b in jobs]) if jobs else {}
-    good = [f for f in fast if fast[f][1] + 2 == jobs[f][2] - jobs[f][1]]
-    if good:
-        flat = np.frombuffer(whole, dtype="u1")
-        sizes = np.array([fast[f][1] for f in good])
-        joined = np.concatenate([flat[jobs[f][1] : jobs[f][1] + fast[f][1]] for f in good])
-        sums = crc16s(joined, np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-        good = {f for f, s in zip(good, sums.tolist()) if whole[jobs[f][2] - 2 : jobs[f][2]] == struct.pack(">H", s)}
+    fast, good, at = {}, set(), 0
+    while at < len(jobs):  # about BATCH bytes of frames at a time
+        to = at + 1
+        while to < len(jobs) and jobs[to][2] - jobs[at][1] <= BATCH:
+            to += 1
+        first = jobs[at][1]
+        data = whole[first : jobs[to - 1][2]]
+        own = {at + f: x for f, x in _fast_frames(data, [(a - first, b - first) for _, a, b in jobs[at:to]]).items()}
+        fits = [f for f, x in own.items() if x[1] + 2 == jobs[f][2] - jobs[f][1]]
+        if fits:
+            sizes, flat = np.array([own[f][1] for f in fits]), np.frombuffer(data, dtype="u1")
+            joined = np.concatenate([flat[jobs[f][1] - first :][: own[f][1]] for f in fits])
+            sums = crc16s(joined, np.cumsum(sizes) - sizes, sizes)
+            good |= {f for f, s in zip(fits, sums.tolist()) if whole[jobs[f][2] - 2 : jobs[f][2]] == struct.pack(">H", s)}
+        fast.update(own)
+        at = to
     by_stream: dict = {}
     for f, (i, _, _) in enumerate(jobs):
         by_stream.setdefault(i, []).append(f)
@@ -495,9 +512,10 @@ def decode(streams: list[bytes]) -> list:
                     done, at = done + len(got), at + size
                 if head.samples and done != head.samples:
                     raise FlacError("samples are missing")
-                width = (head.bits + 7) // 8
-                raw = b"".join(pcm(b, width) for _, b in blocks)
-                if any(head.md5) and hashlib.md5(raw).digest() != head.md5:
+                width, digest = (head.bits + 7) // 8, hashlib.md5()
+                for _, own_samples in blocks:
+                    digest.update(pcm(own_samples, width))
+                if any(head.md5) and digest.digest() != head.md5:
                     raise FlacError("the stream's checksum fails")
                 out[i] = blocks
             except (FlacError, IndexError, KeyError) as e:
@@ -582,15 +600,32 @@ def decode_blocks(spark: SparkSession, media: DataFrame, key: str = "doc_id", co
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, block int, sample_offset long, n_samples int, pcm binary, error string")
 
 
-def feature(samples: np.ndarray) -> str:
-    """Whole-number features: samples, sum, sum of squares, sign changes, least and greatest."""
-    x = samples.astype("i8")
-    turns = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};turns={turns};min={int(x.min())};max={int(x.max())}"
+def describe(blocks: list) -> tuple:
+    """Of a stream's blocks: payload bytes, their sha256, crc32 of the last 64, the feature, blocks, digest of their offsets.
+
+    The feature holds whole numbers: samples, sum, sum of squares, sign changes, least and greatest.
+    """
+    digest, tail, n, total, energy, turns, least, most, below = hashlib.sha256(), b"", 0, 0, 0, 0, 127, -128, None
+    for _, x in blocks:
+        payload = (x.view("u1") ^ 0x80).tobytes()
+        digest.update(payload)
+        tail = (tail + payload[-64:])[-64:]
+        wide, sign = x.astype("i4"), x < 0
+        n, total, energy = n + len(x), total + int(wide.sum()), energy + int((wide * wide).sum())
+        turns += int(np.count_nonzero(sign[1:] != sign[:-1])) + (below is not None and bool(sign[0]) != below)
+        least, most, below = min(least, int(x.min())), max(most, int(x.max())), bool(sign[-1])
+    offsets = hashlib.sha256(",".join(str(at) for at, _ in blocks).encode()).hexdigest()
+    return n, digest.hexdigest(), zlib.crc32(tail), f"n={n};sum={total};energy={energy};turns={turns};min={least};max={most}", len(blocks), offsets
+
+
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, offsets_sha256 string"
 
 
 def read_back(spark: SparkSession, media: DataFrame) -> DataFrame:
-    """What is in the streams of encode_texts: sizes, digests and features, from the decoded samples."""
+    """What is in the streams of encode_texts: sizes, digests and features, from the decoded blocks.
+
+    n_blocks and offsets_sha256 (of the comma-joined sample offsets) describe the same blocks that decode_blocks writes.
+    """
     ready(spark)
 
     @lean
@@ -602,21 +637,20 @@ def read_back(spark: SparkSession, media: DataFrame) -> DataFrame:
                 for stream, got in zip(part, decode(part)):
                     if isinstance(got, FlacError):
                         raise got
-                    samples = np.concatenate([x for _, x in got])
-                    payload = (samples.view("u1") ^ 0x80).tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(samples)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    n, sha, tail, feature, blocks, offsets = describe(got)
+                    rows.append((n, sha, tail, len(stream), hashlib.sha256(stream).hexdigest(), feature, blocks, offsets))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 head = [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part))]
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, t) for x, t in zip(zip(*rows), kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(x, t) for x, t in zip(zip(*rows), kinds)]], names=[c.split()[0] for c in _READ.split(", ")])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, _READ)
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`: written as FLAC, read back, and described.
 
-    A null text is empty, so its payload is 64 zeros. Repeated rows are stored each; an empty table gives no rows; other
+    A null text is empty, so its payload is 64 zeros. A very long text is coded and read a megabyte at a time. Repeated rows are stored each; an empty table gives no rows; other
     columns are not read.
     """
     return read_back(spark, encode_texts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import struct
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from quillmere.llm.shared import lean, ready
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_SPACE = re.compile(r"[ \n\t\r]")
 #: Distinct words that a worker remembers; the rest is encoded again.
 WORDS = 700_000
 #: Texts whose words this module cuts as the tokenizer does: printable ASCII and the Latin letters after it, between white
@@ -85,8 +87,11 @@ class WordEncoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(self._encode(slices(text))) if len(text) > SLICE else b"".join(self._encode([text])) for text in texts]
+
+    def _encode(self, parts) -> list[bytes]:
         out = []
-        for text in texts:
+        for text in parts:
             easy = self.as_expected and "<|" not in text and _EASY.fullmatch(text)
             known, other = (self.parts, self._word) if easy else (self.odd, self._odd_word)
             get = known.get
@@ -98,6 +103,22 @@ class WordEncoder:
         return out
 
 
+#: Characters of a text that are handled together.
+SLICE = 1 << 20
+
+
+def slices(text: str):
+    """The text in parts of about SLICE characters that start at white space, which no token crosses."""
+    at = 0
+    while len(text) - at > SLICE:
+        m = _SPACE.search(text, at + SLICE)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -150,13 +171,20 @@ def pack_group(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
 
 
 def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end: int = 1) -> DataFrame:
-    """Each document's ids with the end id, cut at multiples of size: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Each document's ids with the end id, cut at multiples of size: doc_id, start, length, ids_crc32, doc_tokens.
+
+    row_key tells rows apart: a hash of doc_id, the ids, the part of the input they stand in and, among rows of that part
+    that are equal, their number. It does not hang on the order of rows, so a task that runs again gives the same keys.
+    """
     ready(spark)
     path, tail = tokenizer or default_tokenizer(), np.array([end], dtype="<u4").tobytes()
 
     @lean
     def run(batches):
-        encoder = WordEncoder(path)
+        from pyspark import TaskContext
+
+        encoder, context, seen = WordEncoder(path), TaskContext.get(), {}
+        part_of = context.partitionId() if context else 0
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             texts = batch.column(1)
@@ -169,24 +197,28 @@ def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str | None = N
                 rows = []
                 for doc, got in zip(ids[at:to], encoder.encode(part)):
                     got += tail
-                    rows += [(doc, s, n, c, len(got) // 4) for s, n, c in cut(got, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    row = zlib.crc32(got), len(got), doc
+                    nth = seen[row] = seen.get(row, 0) + 1
+                    key = int.from_bytes(hashlib.blake2b(repr((row, part_of, nth)).encode(), digest_size=8).digest(), "little", signed=True)
+                    rows += [(doc, s, n, c, len(got) // 4, key) for s, n, c in cut(got, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key"])
                 at = to
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", row_key long")
 
 
 def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, group_docs: int = 8192, tokenizer: str | None = None, end: int = 1, seed: int = 11) -> DataFrame:
     """One row per piece with its sequence and offset.
 
-    Only pieces' lengths are shuffled. Groups are dealt by a hash of the document id, start and checksum, so each holds
-    about group_docs documents whatever their sources or copies; sequence_id is the group times 2**32 plus the bin.
-    A null text is empty and is its end id alone; a null doc_id stays null; repeated rows are packed each; an empty
-    table gives no pieces; other columns are ignored.
+    Only pieces' lengths are shuffled. Groups are dealt by a hash of the row, so each holds about group_docs documents with
+    all their pieces, whatever their sources, ids or copies; sequence_id is the group times 2**32 plus the bin.
+    A null text is empty and is its end id alone; a null doc_id stays null; repeated rows are packed each, in groups of
+    their own; a very long text is encoded in slices and fills sequences of its own but for its last piece; an empty table
+    gives no pieces; other columns are ignored. Ties in length go by document, start and checksum.
     """
     pieces = token_pieces(spark, docs, tokenizer, size, end)
     groups = max(1, math.ceil(docs.count() / group_docs))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.lit(groups))).drop("row_key")
     return dealt.groupBy("pack_group").applyInPandas(lambda pdf: pack_group(pdf, size), PIECES + ", sequence_id long, offset long")
 
 

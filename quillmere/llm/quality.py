@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.langid import fold
 from quillmere.llm.mixing import unit
-from quillmere.llm.shared import lean, ready
+from quillmere.llm.shared import lean, ready, stash, unstash
 
 #: Words of a passage.
 PASSAGE = 64
@@ -24,13 +25,36 @@ for _i, _b in enumerate(_NAMES):
 #: Hashed small words (up to 4 letters), which tell prose from lists.
 _SHORT = 32
 WIDTH = _CLASSES + _CLASSES * _CLASSES + 6 + _SHORT
+#: Characters of a text whose passages are handled together.
+SLICE = 1 << 20
+_SPACE = re.compile(r"\s")
+
+
+def word_blocks(text: str):
+    """The words of a text in lists whose lengths, but for the last, are multiples of PASSAGE."""
+    left, at, given = [], 0, False
+    while True:
+        m = _SPACE.search(text, at + SLICE) if len(text) - at > SLICE else None
+        words = left + text[at : m.end() if m else len(text)].split()
+        if m is None:
+            if words or not given:
+                yield words
+            return
+        whole = len(words) - len(words) % PASSAGE
+        left, at = words[whole:], m.end()
+        if whole:
+            given = True
+            yield words[:whole]
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, and how many each text has; an empty text has one empty passage."""
+    return word_passages([t.split() for t in texts])
+
+
+def word_passages(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     parts, counts, extra = [], [], []
-    for text in texts:
-        words = text.split()
+    for words in lists:
         n = 0
         for at in range(0, max(1, len(words)), PASSAGE):
             own = words[at : at + PASSAGE]
@@ -87,6 +111,18 @@ class Network:
         z = np.add.reduceat(weight[:, None] * h, starts, axis=0)
         return {"x": x, "h": h, "v": v, "g": g, "weight": weight, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"][0], -30, 30))), "starts": starts}
 
+    def score_long(self, text: str) -> float:
+        """The score of one text whose passages are read block by block: the attention's sums are carried along."""
+        p, top, total, z = self.params, -np.inf, 0.0, 0.0
+        for words in word_blocks(text):
+            x = np.clip((word_passages([words])[0] - self.mean) / self.scale, -8, 8)
+            h = np.tanh(x @ p["w"] + p["b"])
+            a = (np.tanh(h @ p["v"]) * (1 / (1 + np.exp(-np.clip(h @ p["g"], -30, 30))))) @ p["a"]
+            new = max(top, float(a.max()))
+            keep, e = np.exp(top - new), np.exp(a - new)
+            top, total, z = new, total * keep + e.sum(), z * keep + e @ h
+        return float(1 / (1 + np.exp(-np.clip((z / total) @ p["c"] + p["d"][0], -30, 30))))
+
     def gradients(self, f: dict, counts: np.ndarray, y: np.ndarray) -> dict:
         p, n = self.params, len(y)
         out = (f["score"] - y) / n
@@ -130,28 +166,50 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: int
     return net
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4000) -> Network:
-    """Learns from a bounded sample: the `most` labelled documents that come first by a hash of their id, whole texts.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4000, most_passages: int = 200_000) -> Network:
+    """Learns from a bounded sample of labelled rows, whole texts: those that come first by a hash of their id, `most` at
+    most and as many as have `most_passages` passages together (a row that alone has more is passed over).
 
     labels: doc_id, quality 0 or 1. A document with several labels counts with the smallest. The passages' features, at
-    half precision, come to the driver.
+    half precision (some 100 MB at most), come to the driver. Without any labelled row every score is 0.5; where all labels
+    are equal, scores are near that label.
     """
     ready(spark)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    sample = known.orderBy(unit(F.lit("quality"), F.col("doc_id").cast("string")), "doc_id").limit(most)
+    order = unit(F.lit("quality"), F.col("doc_id").cast("string"))
+    sample = known.withColumn("turn", order).orderBy("turn", "doc_id").limit(most)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")  # at most `most` rows of two numbers
+    joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "turn", "text")  # at most `most` rows of three numbers
 
     @lean
     def encode(batches):
         for batch in batches:
-            for row in range(0, batch.num_rows, 64):
-                part = batch.slice(row, 64)
-                x, counts = passages([t or "" for t in part.column(2).to_pylist()])
-                edges = np.cumsum(counts)[:-1]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.astype("f2").tobytes() for b in np.split(x, edges)], pa.binary())], names=["doc_id", "quality", "bag"])
+            for row in range(batch.num_rows):
+                bag, n = [], 0
+                for words in word_blocks(batch.column(3)[row].as_py() or ""):
+                    x = word_passages([words])[0]
+                    n += len(x)
+                    if n <= most_passages:
+                        bag.append(x.astype("f2").tobytes())
+                    else:
+                        bag = []  # passed over, so nothing of it is kept
+                part = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array([n], pa.int64()), pa.array([b"".join(bag)], pa.binary())], names=["doc_id", "quality", "turn", "n", "bag"])
 
-    got = joined.mapInArrow(encode, "doc_id long, quality int, bag binary").toArrow().to_pylist()
+    bags = stash(spark, joined.mapInArrow(encode, "doc_id long, quality int, turn double, n long, bag binary").where(F.col("n") <= most_passages), "quality-bags")
+    sizes = bags.groupBy("doc_id").agg(F.min("turn").alias("turn"), F.sum("n").alias("n")).orderBy("turn", "doc_id").limit(most).toArrow().to_pylist()
+    taken, total = [], 0
+    for r in sizes:
+        total += r["n"]
+        if total > most_passages:
+            break
+        taken.append(r["doc_id"])
+    got = bags.where(F.col("doc_id").isin(taken)).select("doc_id", "quality", "bag").toArrow().to_pylist() if taken else []
+    unstash(spark, bags)
+    if not got:
+        net = fit([], np.zeros(0))
+        net.params["c"][:] = 0.0
+        return net
     got.sort(key=lambda r: (r["doc_id"], r["bag"]))
     return fit([np.frombuffer(r["bag"], dtype="f2").astype("f4").reshape(-1, WIDTH) for r in got], np.array([r["quality"] for r in got], dtype="f8"))
 
@@ -159,7 +217,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4
 def score_quality(spark: SparkSession, docs: DataFrame, net: Network, cut: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every document, from its text alone; a null text is an empty one, which has a score too.
 
-    Repeated rows are scored each; an empty table gives none; other columns are not read.
+    A very long text is read whole, block by block, with the attention over all its passages. Scores at the cut are
+    predicted 1. Repeated rows are scored each; an empty table gives none; other columns are not read.
     """
     ready(spark)
     held = spark.sparkContext.broadcast(net)
@@ -169,10 +228,19 @@ def score_quality(spark: SparkSession, docs: DataFrame, net: Network, cut: float
         for batch in batches:
             begin = 0
             while begin < batch.num_rows:
+                first = batch.column(1)[begin].as_py() or ""
+                if len(first) > SLICE:
+                    score = np.array([held.value.score_long(first)])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, 1), pa.array(score, pa.float64()), pa.array((score >= cut).astype("i4"))], names=["doc_id", "score", "predicted"])
+                    begin += 1
+                    continue
                 texts, chars = [], 0
-                while begin + len(texts) < batch.num_rows and (chars < 1_000_000 or not texts):
-                    texts.append(batch.column(1)[begin + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
+                while begin + len(texts) < batch.num_rows and chars < SLICE:
+                    text = batch.column(1)[begin + len(texts)].as_py() or ""
+                    if len(text) > SLICE:
+                        break
+                    texts.append(text)
+                    chars += len(text)
                 x, counts = passages(texts)
                 score = held.value.forward(x, counts)["score"]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(score, pa.float64()), pa.array((score >= cut).astype("i4"))], names=["doc_id", "score", "predicted"])

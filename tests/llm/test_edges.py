@@ -59,14 +59,66 @@ def test_pii(spark, docs):
 
 
 def test_flac(spark, docs):
-    got = flac.read_back(spark, flac.encode_texts(spark, docs)).collect()
-    assert len(got) == _count(docs)
-    assert all(r.payload_bytes >= 64 and r.payload_bytes % 64 == 0 for r in got)
+    import hashlib
+    import zlib
+
+    got = sorted(flac.read_back(spark, flac.encode_texts(spark, docs)).collect(), key=lambda r: (r.n_bytes, str(r.doc_id)))
+    want = []
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        payload = raw + bytes(64 if not raw else -len(raw) % 64)
+        offsets = ",".join(str(o) for o in range(0, len(payload), 4096))
+        x = [b - 128 for b in payload]
+        turns = sum((p < 0) != (q < 0) for p, q in zip(x, x[1:]))
+        feature = f"n={len(x)};sum={sum(x)};energy={sum(v * v for v in x)};turns={turns};min={min(x)};max={max(x)}"
+        want.append((r.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature, -(-len(payload) // 4096), hashlib.sha256(offsets.encode()).hexdigest()))
+    want.sort(key=lambda w: (w[1], str(w[0])))
+    assert [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature, r.n_blocks, r.offsets_sha256) for r in got] == want
+    same = [(r.media_sha256, r.media_bytes) for r in got if r.doc_id == 1]
+    assert len(set(same)) == min(1, len(same))
+
+
+def test_flac_long_payload(monkeypatch):
+    """Streams do not hang on how much is worked on at a time."""
+    import random
+
+    rng = random.Random(3)
+    payloads = [bytes(rng.choice(b"abc def") for _ in range(64 * 1000)), b"q" * 64, bytes(rng.randrange(256) for _ in range(64 * 200))]
+    whole = flac.encode(payloads)
+    monkeypatch.setattr(flac, "BATCH", 5000)
+    assert flac.encode(payloads) == whole
+    for p, got in zip(payloads, flac.decode(whole)):
+        assert b"".join(flac.pcm(x) for _, x in got) == bytes(b ^ 0x80 for b in p)
 
 
 def test_packing(spark, docs):
-    got = packing.pack(spark, docs).collect()
-    assert len({r.doc_id for r in got}) == docs.select("doc_id").distinct().count()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    got, want = packing.pack(spark, docs).collect(), []
+    for r in docs.collect():
+        n = len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want += [(r.doc_id, s, min(2048, n - s), n) for s in range(0, n, 2048)]
+    key = lambda x: (x[0] is None, x)
+    assert sorted([(r.doc_id, r.start, r.length, r.doc_tokens) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_packing_deals_copies_and_keeps_documents_together(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 3000 + [(1000 + i, "word " * 3000) for i in range(20)], "doc_id long, text string").repartition(4)
+    got = packing.pack(spark, docs, group_docs=100).collect()
+    groups = {r.sequence_id >> 32 for r in got if r.doc_id == 7}
+    assert len(groups) == 31 and sum(r.doc_id == 7 for r in got) == 3000
+    for i in range(20):
+        own = [r for r in got if r.doc_id == 1000 + i]
+        assert len(own) == 2 and len({r.sequence_id >> 32 for r in own}) == 1
+
+
+def test_packing_long_text(monkeypatch):
+    path = packing.default_tokenizer()
+    text = "it's a  long\ntext of ÉTÉ and \u65e5\u672c words, " * 400 + " " * 3000 + "x" * 9000
+    whole = packing.WordEncoder(path).encode([text])
+    monkeypatch.setattr(packing, "SLICE", 700)
+    assert packing.WordEncoder(path).encode([text]) == whole
 
 
 def test_mixing(spark, docs):
@@ -101,7 +153,28 @@ def test_mixing_without_ids(spark):
 def test_quality(spark, docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     got = quality.score_quality(spark, docs, quality.train(spark, docs, labels)).collect()
-    assert len(got) == _count(docs) and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == _count(docs) and all(r.score > 0.9 and r.predicted == 1 if _count(docs) else False for r in got)
+    none = quality.score_quality(spark, docs, quality.train(spark, docs, labels.where("false"))).collect()
+    assert len(none) == _count(docs) and all(r.score == 0.5 and r.predicted == 0 for r in none)
+
+
+def test_quality_same_text_same_score(spark, monkeypatch):
+    """Null is empty, repeated rows are equal, and a text read in blocks scores like one read at once; the sample keeps to its bounds."""
+    good, bad = "the quick brown fox jumps over the lazy dog. " * 20, "$$$ ### %%% 111 222 !!! " * 30
+    rows = [(i, good + str(i)) for i in range(0, 40)] + [(100 + i, bad + str(i)) for i in range(40)] + [(500, None), (501, ""), (502, good), (502, good), (503, " \n " * 40), (504, good * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    net = quality.train(spark, docs, labels)
+    one = {(r.doc_id, r.score) for r in quality.score_quality(spark, docs, net).collect()}
+    by = dict(one)
+    assert len(one) == len({i for i, _ in rows}) and by[500] == by[501] == by[503] and by[502] > 0.7 > 0.5 > by[105]
+    for size in (50, 1000):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert max(abs(net.score_long(t or "") - by[i]) for i, t in rows[-6:]) < 1e-6
+    monkeypatch.undo()
+    assert [len(x) for x in quality.word_blocks("a " * 200)] == [200]
+    few = quality.train(spark, docs, labels, most_passages=1)
+    assert (few.params["c"] == 0).all() and few.params["d"][0] == 0
 
 
 def test_suffix(spark, docs):
