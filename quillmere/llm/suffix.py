@@ -10,8 +10,12 @@ prefix-free parse, and each window of a document starts in just one of them.
   dictionary (by prefix doubling over whole numbers, to 100 bytes) puts equal windows side by side, and the parse's first
   places put them in corpus order: all but the first of each are repeats.
 
-So the suffix arrays' size follows the distinct text around differences, not the corpus. Phrases are compared by 96 bits or
-more of hash, windows of different phrases byte by byte.
+* A trigger with many phrases (the edge of a passage that a third of the documents share) would be one task's work. Its
+  phrases are cut into their windows instead, and those are dealt by 128 bits of hash.
+
+So the suffix arrays' size follows the distinct text around differences, not the corpus. As a phrase covers its windows
+whole, no order beyond a phrase decides anything, and the parse needs no suffix array of its own: its order is that of
+first places. Phrases are compared by 96 bits or more of hash, windows of different phrases byte by byte.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from quillmere.llm.shared import lean, ready, release, stash
 SPAN, GRAM = 100, 28
 #: Bytes parsed at once, bytes whose phrases are combined before they are sent, triggers and dictionary bytes of a reduce bucket.
 PARSE, CHUNK, BUCKET_TRIGGERS, BUCKET_BYTES = 2_000_000, 32_000_000, 600_000, 3_000_000
+#: Phrases of one trigger, in a chunk and in a bucket, above which they are dealt by window. Both ways give the same result.
+HOT_CHUNK, HOT_BUCKET = 64, 4096
 _POS = 28
 _C = 0x9E3779B97F4A7C15 | 1
 _NULL = -(1 << 63)
@@ -159,11 +165,21 @@ _NOTHING = pa.Table.from_batches([_rows(1, 0, pa.array([], pa.int64()), pa.array
 
 
 def _cover_rows(ids, crcs, s, n, buckets: int = 1):
-    """Runs by document; what passes through a shuffle on the way is dealt by the document."""
+    """Runs by document; what passes through a shuffle on the way is dealt by the document, equal texts apart."""
     records = np.empty(len(s), dtype=_COVER)
     records["s"], records["n"] = s, n
     ids, crcs, blobs = _by_doc(ids, crcs, records)
-    return _rows(1, crcs.to_numpy() % buckets, ids, crcs, blobs)
+    to = _mix(ids.to_numpy().view("u8") ^ (crcs.to_numpy().view("u8") << np.uint64(20))) % np.uint64(buckets)
+    return _rows(1, to.astype("i4"), ids, crcs, blobs)
+
+
+def _merged_runs(ids, crcs, starts, buckets: int = 1):
+    """Runs by document of single window starts."""
+    order = np.lexsort((starts, crcs, ids))
+    i, c, s = ids[order], crcs[order], starts[order].astype("i8")
+    edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (c[1:] != c[:-1]) | (s[1:] > s[:-1] + 1)]))
+    last = np.append(edge[1:], len(s)) - 1
+    return _cover_rows(i[edge], c[edge], s[edge], s[last] - s[edge] + 1, buckets)
 
 
 def _send(parts: list[dict], ids: np.ndarray, crcs: np.ndarray, buckets: int):
@@ -172,45 +188,61 @@ def _send(parts: list[dict], ids: np.ndarray, crcs: np.ndarray, buckets: int):
     first, later = _firsts(t, ids[t["doc"]], crcs[t["doc"]])
     if len(later):
         yield _cover_rows(ids[t["doc"][later]], crcs[t["doc"][later]], t["a"][later], t["n"][later], buckets)
-    to = (t["deal"][first] % np.uint32(buckets)).astype("i4")
-    order = np.argsort(to, kind="stable")
-    first, edges = first[order], np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = first[edges[b] : edges[b + 1]]
-        if len(own):
-            used, doc = np.unique(t["doc"][own], return_inverse=True)
-            blob = np.array([len(used), len(own)], dtype="i8").tobytes() + ids[used].tobytes() + crcs[used].astype("u4").tobytes() + b"".join(x.tobytes() for x in (t["p"][own], t["v"][own], t["a"][own], doc.astype("u4"), t["n"][own], t["left"][own]))
-            yield _rows(0, b, pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary()))
+    # triggers with many phrases here: the phrases are dealt by themselves, and a note goes to where the trigger's others are
+    v, deal = t["v"][first], t["deal"][first]
+    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, "i8")
+    count = np.diff(np.append(edge, len(v)))
+    hot = np.repeat(count > HOT_CHUNK, count)
+    if hot.any():
+        at = edge[count > HOT_CHUNK]
+        where, many = (deal[at] % np.uint32(buckets)).astype("i4"), v[at]
+        used = np.unique(where)
+        none = pa.array(np.zeros(len(used), "i8"))
+        yield _rows(6, used, none, none, pa.array([many[where == b].tobytes() for b in used.tolist()], pa.binary()))
+    for kind, own, key in ((0, first[~hot], deal[~hot]), (4, first[hot], t["p"][first[hot]])):
+        to = (key % key.dtype.type(buckets)).astype("i4")
+        order = np.argsort(to, kind="stable")
+        own, edges = own[order], np.searchsorted(to[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            mine = own[edges[b] : edges[b + 1]]
+            if len(mine):
+                used, doc = np.unique(t["doc"][mine], return_inverse=True)
+                blob = np.array([len(used), len(mine)], dtype="i8").tobytes() + ids[used].tobytes() + crcs[used].astype("u4").tobytes() + b"".join(x.tobytes() for x in (t["p"][mine], t["v"][mine], t["a"][mine], doc.astype("u4"), t["n"][mine], t["left"][mine]))
+                yield _rows(kind, b, pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary()))
 
 
 def _parse_all(docs: DataFrame, buckets: int) -> DataFrame:
     @lean
     def run(batches):
         parts, ids, crcs, chunk = [], [], [], 0
-        raws, size, base = [], 0, 0
+        raws, bases, size = [], [], 0
 
         def close():
-            nonlocal raws, size, base
+            nonlocal raws, bases, size
             if raws:
                 t = parse(raws)
-                t["doc"] = t["doc"] + np.int32(base)
+                t["a"] = t["a"] + np.array(bases, dtype="u4")[t["doc"]]
+                t["doc"] = t["doc"] + np.int32(len(ids) - len(raws))
                 parts.append(t)
-                base += len(raws)
-                raws, size = [], 0
+                raws, bases, size = [], [], 0
 
         for batch in batches:
             for key, crc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raws.append((text.as_py() or "").encode())
-                ids.append(key)
-                crcs.append(crc)
-                size += len(raws[-1])
-                chunk += len(raws[-1])
-                if size >= PARSE or len(raws) >= 100_000:
-                    close()
-                if chunk >= CHUNK or len(ids) >= 1_000_000:
-                    close()
-                    yield from _send(parts, np.array(ids, "i8"), np.array(crcs, "i8"), buckets)
-                    parts, ids, crcs, chunk, base = [], [], [], 0, 0
+                raw = (text.as_py() or "").encode()
+                # a long text is parsed in segments, each window in one of them
+                for at in range(0, max(1, len(raw) - SPAN + 1), PARSE):
+                    raws.append(raw[at : at + PARSE + SPAN - 1])
+                    bases.append(at)
+                    ids.append(key)
+                    crcs.append(crc)
+                    size += len(raws[-1])
+                    chunk += len(raws[-1])
+                    if size >= PARSE or len(raws) >= 100_000:
+                        close()
+                    if chunk >= CHUNK or len(ids) >= 1_000_000:
+                        close()
+                        yield from _send(parts, np.array(ids, "i8"), np.array(crcs, "i8"), buckets)
+                        parts, ids, crcs, chunk = [], [], [], 0
         close()
         if parts:
             yield from _send(parts, np.array(ids, "i8"), np.array(crcs, "i8"), buckets)
@@ -218,15 +250,10 @@ def _parse_all(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_key", "crc", "text").mapInArrow(run, _SCHEMA)
 
 
-def _first_pass(table):
-    """One bucket of the parse: repeats (kind 1) and, where a trigger has several phrases, the wish for their bytes (kind 2)."""
-    kinds = np.array(table.column("kind").to_pylist())
-    out = []
-    known = table.filter(pa.array(kinds == 1))
-    if known.num_rows:
-        out.append(known)
+def _unpacked(blobs) -> dict | None:
+    """The phrases that _send laid into blobs."""
     parts: dict = {k: [] for k in ("p", "v", "a", "n", "left", "id", "crc")}
-    for blob in table.filter(pa.array(kinds == 0)).column("blob"):
+    for blob in blobs:
         raw, at = blob.as_buffer(), 16
         docs, n = np.frombuffer(raw, dtype="i8", count=2).tolist()
 
@@ -244,20 +271,46 @@ def _first_pass(table):
         parts["left"].append(take("u1", n))
         parts["id"].append(ids[doc])
         parts["crc"].append(crcs[doc].astype("i8"))
-    if parts["p"]:
-        t = {k: np.concatenate(x) for k, x in parts.items()}
-        first, later = _firsts(t, t["id"], t["crc"])
-        if len(later):
-            out.append(pa.Table.from_batches([_cover_rows(t["id"][later], t["crc"][later], t["a"][later], t["n"][later])]))
-        v = t["v"][first]  # sorted
-        same = np.zeros(len(v) + 1, dtype=bool)
-        same[1:-1] = v[1:] == v[:-1]
-        own = first[same[1:] | same[:-1]]
+    return {k: np.concatenate(x) for k, x in parts.items()} if parts["p"] else None
+
+
+def _first_pass(table):
+    """One bucket of the parse: repeats (kind 1) and, where a trigger has several phrases, the wish for their bytes (kind 2) or windows (kind 5)."""
+    kinds = np.array(table.column("kind").to_pylist())
+    out = []
+
+    def blobs(kind):
+        return table.filter(pa.array(kinds == kind)).column("blob")
+
+    def wish(kind, t, own):
         if len(own):
             records = np.empty(len(own), dtype=_WANT)
             for k in ("a", "v", "n", "left"):
                 records[k] = t[k][own]
-            out.append(pa.Table.from_batches([_rows(2, 0, *_by_doc(t["id"][own], t["crc"][own], records))]))
+            out.append(pa.Table.from_batches([_rows(kind, 0, *_by_doc(t["id"][own], t["crc"][own], records))]))
+
+    known = table.filter(pa.array(kinds == 1))
+    if known.num_rows:
+        out.append(known)
+    noted = [np.frombuffer(x.as_buffer(), dtype="u4") for x in blobs(6)]
+    for kind in (0, 4):
+        t = _unpacked(blobs(kind))
+        if t is None:
+            continue
+        first, later = _firsts(t, t["id"], t["crc"])
+        if len(later):
+            out.append(pa.Table.from_batches([_cover_rows(t["id"][later], t["crc"][later], t["a"][later], t["n"][later])]))
+        if kind == 4:
+            wish(5, t, first)
+            continue
+        v = t["v"][first]  # sorted
+        edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        count = np.repeat(np.diff(np.append(edge, len(v))), np.diff(np.append(edge, len(v))))
+        hot = count > HOT_BUCKET
+        if noted:
+            hot |= np.isin(v, np.concatenate(noted))
+        wish(2, t, first[(count > 1) & ~hot])
+        wish(5, t, first[hot])
     if not out:
         return _NOTHING
     return pa.concat_tables([x.cast(out[0].schema) for x in out]).combine_chunks()
@@ -363,6 +416,71 @@ def _fetch(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     return docs.join(lists, ["doc_key", "crc"]).select("doc_key", "crc", "text", "blobs").mapInArrow(run, _SCHEMA)
 
 
+_WINDOW = np.dtype([("h", "<u8"), ("l", "<u8"), ("id", "<i8"), ("crc", "<i8"), ("s", "<u4")])
+
+
+def _first_windows(w: np.ndarray, buckets: int = 1):
+    """(the first of each window in corpus order, rows of those after it)."""
+    order = np.lexsort((w["s"], w["crc"], w["id"], w["l"], w["h"]))
+    w = w[order]
+    new = np.ones(len(w), dtype=bool)
+    new[1:] = (w["h"][1:] != w["h"][:-1]) | (w["l"][1:] != w["l"][:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+    later = w[(w["id"] != w["id"][head]) | (w["crc"] != w["crc"][head]) | (w["s"] != w["s"][head])]
+    return w[new], _merged_runs(later["id"], later["crc"], later["s"], buckets) if len(later) else None
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """The windows of phrases whose trigger has many, by 128 bits of hash and dealt by them (kind 3), each batch's repeats left out (kind 1)."""
+
+    @lean
+    def run(batches):
+        import xxhash
+
+        def send(rows):
+            w = np.array(rows, dtype=_WINDOW)
+            first, covered = _first_windows(w, buckets)
+            if covered is not None:
+                yield covered
+            to = (first["h"] % np.uint64(buckets)).astype("i4")
+            order = np.argsort(to, kind="stable")
+            first, to = first[order], to[order]
+            edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            none = pa.array(np.zeros(len(edge), "i8"))
+            yield _rows(3, to[edge], none, none, pa.array([first[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(first)])], pa.binary()))
+
+        rows: list = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, crc, text, blobs = (batch.column(i)[row].as_py() for i in range(4))
+                raw = memoryview(text.encode())
+                own = np.unique(np.frombuffer(b"".join(blobs), dtype=_WANT))
+                for a, n in zip(own["a"].tolist(), own["n"].tolist()):
+                    for s in range(a, a + n):
+                        h = xxhash.xxh3_128_intdigest(raw[s : s + SPAN])
+                        rows.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, key, crc, s))
+                    if len(rows) >= 200_000:
+                        yield from send(rows)
+                        rows = []
+        if rows:
+            yield from send(rows)
+
+    lists = wanted.groupBy("doc_key", "crc").agg(F.collect_list("blob").alias("blobs"))
+    return docs.join(lists, ["doc_key", "crc"]).select("doc_key", "crc", "text", "blobs").mapInArrow(run, _SCHEMA)
+
+
+def _window_pass(table):
+    """One bucket of windows: which of them occur earlier (kind 1)."""
+    kinds = np.array(table.column("kind").to_pylist())
+    out = [table.filter(pa.array(kinds == 1))]
+    own = [np.frombuffer(x.as_buffer(), dtype=_WINDOW) for x in table.filter(pa.array(kinds == 3)).column("blob")]
+    if own:
+        covered = _first_windows(np.concatenate(own))[1]
+        if covered is not None:
+            out.append(pa.Table.from_batches([covered]).cast(table.schema))
+    return pa.concat_tables(out).combine_chunks()
+
+
 def repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_key and crc, rows of doc_key, crc and runs of window starts that repeat an earlier window)."""
     ready(spark)
@@ -373,23 +491,28 @@ def repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     buckets = max(least, int(total * 2 / (SPAN - GRAM + 2) / BUCKET_TRIGGERS) + 1)
     passed = stash(spark, _parse_all(keyed, buckets).groupBy("bucket").applyInArrow(_first_pass, _SCHEMA), "pfp-parse")
     release(spark)
-    wanted = passed.where("kind = 2")
-    size = wanted.agg(F.sum(F.length("blob"))).first()[0] or 0
+    wishes = {r["kind"]: r["size"] // _WANT.itemsize for r in passed.where("kind <> 1").groupBy("kind").agg(F.sum(F.length("blob")).alias("size")).collect()}
     cover = passed.where("kind = 1").select("doc_key", "crc", "blob")
-    if size:
-        pieces = max(least, int(size / _WANT.itemsize * (SPAN + 36) / BUCKET_BYTES) + 1)
-        more = stash(spark, _fetch(keyed, wanted, pieces).groupBy("bucket").applyInArrow(_dictionary, _SCHEMA), "pfp-dictionary")
-        release(spark)
+    if wishes.get(2):
+        pieces = max(least, int(wishes[2] * (SPAN + 36) / BUCKET_BYTES) + 1)
+        more = stash(spark, _fetch(keyed, passed.where("kind = 2"), pieces).groupBy("bucket").applyInArrow(_dictionary, _SCHEMA), "pfp-dictionary")
         cover = cover.union(more.select("doc_key", "crc", "blob"))
+    if wishes.get(5):
+        pieces = max(least, int(wishes[5] * (SPAN - GRAM + 1) * _WINDOW.itemsize / (8 * BUCKET_BYTES)) + 1)
+        more = stash(spark, _windows(keyed, passed.where("kind = 5"), pieces).groupBy("bucket").applyInArrow(_window_pass, _SCHEMA), "pfp-windows")
+        cover = cover.union(more.select("doc_key", "crc", "blob"))
+    release(spark)
     return keyed, cover
 
 
-def removed_mask(size: int, runs: np.ndarray) -> np.ndarray:
-    """Which bytes the windows that start in the runs cover."""
-    step = np.zeros(size + 1, dtype="i4")
-    np.add.at(step, runs["s"], 1)
-    np.subtract.at(step, runs["s"].astype("i8") + runs["n"] + SPAN - 1, 1)
-    return np.cumsum(step[:-1]) > 0
+def kept_parts(raw: bytes, runs: np.ndarray) -> tuple[bytes, int]:
+    """What the windows that start in the runs do not cover, and how many stretches they do."""
+    order = np.argsort(runs["s"], kind="stable")
+    begin = runs["s"][order].astype("i8")
+    end = np.maximum.accumulate(begin + runs["n"][order] + SPAN - 1)
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+    return b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(raw)])), len(begin)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -398,7 +521,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     A byte goes if some 100-byte string over it also starts earlier: in a smaller doc_id, or earlier in the same document.
     Rows that share a doc_id but not a text are ordered by the text's crc32; identical rows are one document and get equal
     results. A null doc_id comes before all others, a null text is empty, an empty table gives none, other columns are not
-    read. Long runs of one byte, and lines that a third of the rows share, leave each task once.
+    read. A very long text is parsed in segments. Long runs of one byte, and lines that a third of the rows share, leave each
+    task once; triggers with many phrases are dealt by window.
     """
     keyed, cover = repeats(spark, docs)
     lists = cover.groupBy("doc_key", "crc").agg(F.collect_list("blob").alias("blobs"))
@@ -412,9 +536,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False)
                 for text, blobs in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw = text.encode()
                     if blobs:
-                        gone = removed_mask(len(raw), np.frombuffer(b"".join(blobs), dtype=_COVER))
-                        kept = np.frombuffer(raw, dtype="u1")[~gone].tobytes()
-                        spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                        kept, spans = kept_parts(raw, np.frombuffer(b"".join(blobs), dtype=_COVER))
                     else:
                         kept, spans = raw, 0
                     rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))

@@ -465,6 +465,22 @@ def test_repeats_in_many_chunks(spark, monkeypatch):
     test_repeats_against_all_windows(spark)
 
 
+def test_repeats_around_hot_triggers(spark, monkeypatch):
+    """Dealt by window, or some phrases of a trigger in one way and some in the other: the result is the same."""
+    for chunk, bucket in ((0, 0), (1, 2), (3, 1)):
+        for name, value in (("HOT_CHUNK", chunk), ("HOT_BUCKET", bucket), ("CHUNK", 9000)):
+            monkeypatch.setattr(suffix, name, value)
+        test_repeats_against_all_windows(spark)
+
+
+def test_repeats_in_segments(spark, monkeypatch):
+    """A text over several segments, with repeats across their borders."""
+    monkeypatch.setattr(suffix, "PARSE", 150)
+    suffix._POWERS.clear()
+    test_repeats_against_all_windows(spark)
+    suffix._POWERS.clear()
+
+
 def test_repeats_query(spark, sf, texts):
     want = _brute_repeats(list(texts.items()))
     for r in QUERIES["op9_drop_repeats"](spark, sf).collect():
