@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmere.llm.components import components
 from quillmere.llm.shared import lean, ready, release, stash, unstash
@@ -26,10 +25,14 @@ from quillmere.llm.shared import lean, ready, release, stash, unstash
 WORDS = 5
 #: Characters whose documents are handled together, rows of a reduce bucket, bytes of sets verified together.
 CHUNK, BUCKET_ROWS, BUCKET_BYTES = 16_000_000, 2_000_000, 16_000_000
+#: Ways that the rows of a hub are dealt while its leaves are numbered.
+SPREAD = 64
 #: Leaves of a hub that are verified in one group, and words that a worker remembers.
 HUB_LEAVES, CACHE = 1000, 300_000
-#: Sets of a block of a cluster.
-CLUSTER_BLOCK = 2000
+#: Sets of a block of a cluster; a cluster of more than so many blocks is settled group by group.
+CLUSTER_BLOCK, CLUSTER_BLOCKS = 2000, 16
+#: Members of a group that are joined together, so that a large group is many keys.
+PART = 256
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEPS = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -150,7 +153,7 @@ def signatures(elements: np.ndarray, bands: Bands, heavy: np.ndarray, counts: np
         tag = mix(ids ^ np.uint64(0xD1B54A32D192ED03))
         wide = np.repeat(np.arange(len(begin)), size)
         less = (content[wide] - mixed[order])[large[wide]]
-        out += [mix(content[large] + tag[large]), mix(less + tag[wide][large[wide]])]
+        out += [mix(content + tag), mix(less + tag[wide][large[wide]])]  # one element alone, too: what is left of two may face it
         if int(large.sum()) + len(begin) < need:
             empty = np.setdiff1d(np.arange(segments, dtype="u8"), segment)
             out.append(mix(mix(empty + salt) ^ np.uint64(0xA24BAED4963EE407)))
@@ -162,7 +165,7 @@ def _chunks(batches):
     ids, texts, chars = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(i)
+            ids.append(tuple(i.values()) if isinstance(i, dict) else i)
             texts.append(t.as_py() or "")
             chars += len(texts[-1])
             if chars >= CHUNK or len(ids) >= 60_000:
@@ -177,13 +180,19 @@ def _sets(texts, known):
         yield from shingle_sets(texts[at : at + 400], known)
 
 
+def text_key():
+    """A row's text, as a key: rows of one doc_id with different texts are told apart by it."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def name_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n_shingles, name of its set; kind 1: an element (as doc_id), how many different sets of a chunk hold it."""
+    """kind 0: doc_id, size and name of its set, key of its text; kind 1: an element (as doc_id), how many different sets of a chunk hold it."""
 
     @lean
     def run(batches):
         known = _Words()
         for ids, texts in _chunks(batches):
+            ids, keys = zip(*ids)
             sizes, names, seen, pool = [], [], set(), []
             for own in _sets(texts, known):
                 sizes.append(len(own))
@@ -191,15 +200,16 @@ def name_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 if len(own) and names[-1] not in seen:
                     seen.add(names[-1])
                     pool.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=["kind", "a", "n", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.int64())], names=["kind", "a", "n", "name", "h"])
             if pool:
                 every = np.sort(np.concatenate(pool))
                 first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 count = np.diff(np.append(first, len(every)))
                 often = count >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), "i4")), pa.array(every[first[often]].view("i8")), pa.array(count[often].astype("i8")), pa.array(np.zeros(int(often.sum()), "i8"))], names=["kind", "a", "n", "name"])
+                none = pa.array(np.zeros(int(often.sum()), "i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(often.sum()), "i4")), pa.array(every[first[often]].view("i8")), pa.array(count[often].astype("i8")), none, none], names=["kind", "a", "n", "name", "h"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, a long, n long, name long")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h")).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, a long, n long, name long, h long")
     return stash(spark, rows, "jac-names")
 
 
@@ -241,7 +251,7 @@ def _index(docs: DataFrame, heavy, buckets: int, percent: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0, pairs of names that alone share a signature; kind 1, members of groups of three or more, by the group's hash."""
+    """Of one bucket: kind 0, pairs of names that alone share a signature; kind 1, members of groups of three or more, by the group's hash, with their part and the group's size."""
     sigs, names = [], []
     for blob in table.column("blob"):
         raw = blob.as_buffer()
@@ -273,19 +283,23 @@ def _meet(table: pa.Table) -> pa.Table:
     if big.any():
         group = np.add.reduceat(mix(name.view("u8")), begin) + size.astype("u8")
         wide = np.repeat(mix(group), size).view("i8")
-        members = np.unique(np.stack([wide[big], name[big]], axis=1), axis=0)
+        members, at = np.unique(np.stack([wide[big], name[big]], axis=1), axis=0, return_index=True)
+        part, many = ((np.arange(len(name)) - np.repeat(begin, size)) // PART)[big][at], np.repeat(size, size)[big][at]
     else:
-        members = np.zeros((0, 2), "i8")
-    both = np.concatenate([pairs, members])
-    return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], "i4"), [len(pairs), len(members)])), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
+        members, part, many = np.zeros((0, 2), "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+    both, none = np.concatenate([pairs, members]), np.zeros(len(pairs), "i8")
+    return pa.table({"kind": pa.array(np.repeat(np.array([0, 1], "i4"), [len(pairs), len(members)])), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy()), "part": pa.array(np.concatenate([none, part]).astype("i4")), "size": pa.array(np.concatenate([none, many]))})
 
 
 def _verify(spark: SparkSession, texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. texts: name, n, text of every name in pairs. A hub's leaves are dealt over several groups."""
-    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan"))
-    dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / HUB_LEAVES)).cast("int"))
+    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).where(F.col("fan") > HUB_LEAVES)
+    hot = fan.select(F.col("a").alias("hot_a"), "fan", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("hot_s"))
+    spread = pairs.join(hot, (F.col("a") == F.col("hot_a")) & (F.pmod(F.xxhash64(F.lit(1), "b"), F.lit(SPREAD)) == F.col("hot_s")), "left")
+    dealt = stash(spark, spread.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / HUB_LEAVES)), F.lit(0)).cast("int").alias("salt")), "jac-dealt")
     wanted = dealt.select(F.col("b").alias("name"), "a", "salt", F.lit(False).alias("hub")).union(dealt.select(F.col("a").alias("name"), "a", "salt", F.lit(True).alias("hub")).distinct())
     wanted = stash(spark, wanted.join(texts.select("name", "n"), "name"), "jac-wanted")
+    unstash(spark, dealt)
     total = wanted.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-8 * total // BUCKET_BYTES))
     lists = wanted.groupBy("name").agg(F.collect_list(F.struct("a", "salt", "hub")).alias("to"))
@@ -340,11 +354,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
 
 
 def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, name of the set, and the smallest doc_id of its component with the smallest set of that doc_id."""
+    """doc_id, h (its text's key), n, name of the set, and the smallest doc_id of its component with the smallest set of that doc_id."""
     ready(spark)
     named = name_sets(spark, docs)
-    nodes = named.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "name")
-    first = stash(spark, nodes.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "jac-first")
+    nodes = named.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "name", "h")
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("owner")
+    first = nodes.where("n > 0").groupBy("name").agg(owner, F.max("n").alias("n")).select("name", "n", F.col("owner.doc_id").alias("doc"), F.col("owner.h").alias("h"))
+    first = stash(spark, first, "jac-first")
     sums = first.agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements")).first()
     links = None
     if sums["sets"]:
@@ -354,9 +370,9 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(elements)
         frequent = spark.sparkContext.broadcast((elements[order], counts[order]))  # half a million at most, and only costs hang on it
         buckets = max(1, -(-int(sums["elements"]) // (2 * BUCKET_ROWS)))
-        met = stash(spark, _index(docs, frequent, buckets, percent).groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"), "jac-met")
+        met = stash(spark, _index(docs, frequent, buckets, percent).groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long, part int, size long"), "jac-met")
         release(spark)
-        links = _links(spark, docs, met, first, percent)
+        links = _links(spark, docs, nodes, met, first, percent)
     if links is None:
         each = first.select("name", F.col("doc").alias("comp_doc"), F.col("name").alias("comp_name"))
     else:
@@ -365,30 +381,42 @@ def _judged(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
         tops = comps.join(first.select(F.col("name").alias("node"), "doc"), "node").groupBy("comp").agg(least.alias("top")).select("comp", F.col("top.doc").alias("comp_doc"), F.col("top.node").alias("comp_name"))
         linked = comps.join(tops, "comp").select(F.col("node").alias("name"), "comp_doc", "comp_name")
         each = first.join(linked, "name", "left").select("name", F.coalesce("comp_doc", "doc").alias("comp_doc"), F.coalesce("comp_name", "name").alias("comp_name"))
-    return nodes.join(each, "name", "left").select("doc_id", "n", "name", "comp_doc", "comp_name")
+    return nodes.join(each, "name", "left").select("doc_id", "h", "n", "name", "comp_doc", "comp_name")
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, text key) is in wanted (doc, h and more, distinct), with wanted's other columns.
+
+    Whole rows move once, in a merge join: rows that repeat a doc_id and a text many times are split by Spark when their
+    partition is large, and never buffered.
+    """
+    given = docs.withColumns({"jac_doc": F.col("doc_id").cast("long"), "jac_key": text_key()})
+    asked = wanted.withColumnRenamed("doc", "jac_w_doc").withColumnRenamed("h", "jac_w_key").hint("merge")
+    return given.join(asked, F.col("jac_doc").eqNullSafe(F.col("jac_w_doc")) & (F.col("jac_key") == F.col("jac_w_key"))).drop("jac_doc", "jac_key", "jac_w_doc", "jac_w_key")
 
 
-def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, met: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect all that any candidate pair connects.
 
     First each set is held against one partner, the one that meets most others in its groups: of many near copies that is
     the text they stem from, so a large group takes as many comparisons as it has members. Groups whose members are not in
-    one component after that are settled block by block.
+    one component after that are settled block by block. A group's rows are joined by its parts, so a large one is no hot key.
     """
-    sizes = first.select("name", "n")
     twos = met.where("kind = 0").select("a", "b").distinct()
-    members = stash(spark, met.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("name")).distinct(), "jac-members")
-    central = members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").groupBy("name").agg(F.sum("c").alias("c"))
-    known = stash(spark, members.select("name").union(twos.select("a")).union(twos.select("b")).distinct().join(first.select("name", "n", "doc"), "name").join(central, "name", "left").select("name", "n", "doc", F.coalesce("c", F.lit(0)).alias("c")), "jac-known")
+    members = stash(spark, met.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("name"), "part", "size").distinct(), "jac-members")
+    central = members.groupBy("name").agg(F.sum("size").alias("c"))
+    known = stash(spark, members.select("name").union(twos.select("a")).union(twos.select("b")).distinct().join(first, "name").join(central, "name", "left").select("name", "n", "doc", "h", F.coalesce("c", F.lit(0)).alias("c")), "jac-known")
     # the text of one document for each set that has a candidate: whole rows of docs move once, here
-    owner = docs.select(F.col("doc_id").cast("long").alias("doc_ref"), F.col("text").cast("string").alias("text"))
-    texts = stash(spark, owner.join(known.drop("c").hint("merge"), owner["doc_ref"].eqNullSafe(known["doc"])).select("name", "n", "text"), "jac-texts")
-    texts = _one_each(spark, texts)
+    owned = rows_of(docs.select("doc_id", F.col("text").cast("string").alias("text")), known.drop("c")).select("name", "n", "text")
+    if nodes.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        owned = owned.groupBy("name").agg(F.max("n").alias("n"), F.first("text").alias("text"))  # rows that are repeated; each task keeps one
+    texts = stash(spark, owned, "jac-texts")
     release(spark)
     rank = lambda side, name: known.select(F.col("name").alias(side), F.struct("c", F.col("name").alias("who"), F.col("n").alias("size")).alias(name))
+    by_part = lambda frame: frame.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PART).cast("int")))).drop("size")
     ranked = members.join(rank("name", "r"), "name")
-    hubs = ranked.groupBy("g").agg(F.max("r").alias("top"))
-    offers = ranked.join(hubs, "g").select("name", "r", "top")
+    hubs = stash(spark, ranked.groupBy("g", "size").agg(F.max("r").alias("top")), "jac-hubs")
+    offers = ranked.drop("size").join(by_part(hubs), ["g", "part"]).select("name", "r", "top")
     both = twos.join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")
     offers = offers.union(both.select("a", "ra", "rb")).union(both.select("b", "rb", "ra"))
     fits = 100 * F.least("r.size", "top.size") >= percent * F.greatest("r.size", "top.size")
@@ -398,19 +426,26 @@ def _links(spark: SparkSession, docs: DataFrame, met: DataFrame, first: DataFram
     comps = components(spark, links)
     lab = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     # what is still open, as edges between components: a component is one node, however many sets it has
-    grouped = members.join(hubs.select("g", F.col("top.who").alias("who")), "g").join(lab("name"), "name", "left").select("g", "name", "who", F.coalesce("cname", "name").alias("c"))
-    mixed = grouped.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("name") == F.col("who"), F.col("c"))).alias("centre")).where("lo <> hi").select("g", "centre")
+    grouped = members.join(by_part(hubs.select("g", "size", F.col("top.who").alias("who"))), ["g", "part"]).join(lab("name"), "name", "left").select("g", "part", "size", "name", "who", F.coalesce("cname", "name").alias("c"))
+    mixed = grouped.groupBy("g", "size").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("name") == F.col("who"), F.col("c"))).alias("centre")).where("lo <> hi").select("g", "size", "centre")
     tried = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = twos.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb").join(tried, ["a", "b"], "left_anti")
-    unsettled = grouped.join(mixed, "g").select("name", "c", F.col("centre").alias("other"))
-    unsettled = unsettled.union(apart.select("a", "ca", "cb")).union(apart.select("b", "cb", "ca")).distinct()
-    unsettled = stash(spark, unsettled, "jac-open")
-    edges = unsettled.where("c <> other").select(F.col("c").alias("src"), F.col("other").alias("dst")).distinct()
-    if unsettled.limit(1).count():
+    opened = grouped.drop("size").join(by_part(mixed), ["g", "part"]).select("g", "name", "c", F.col("centre").alias("other"))
+    pair = F.xxhash64(F.lit("pair"), "a", "b").alias("g")
+    opened = opened.union(apart.select(pair, "a", "ca", "cb")).union(apart.select(pair, "b", "cb", "ca"))
+    opened = stash(spark, opened, "jac-open")
+    if opened.limit(1).count():
+        edges = opened.where("c <> other").select(F.col("c").alias("src"), F.col("other").alias("dst")).distinct()
         clusters = components(spark, edges).select(F.col("node").alias("c"), F.col("comp").alias("cluster"))
-        placed = unsettled.select("name", "c").distinct().join(clusters, "c").select("name", "cluster", F.col("c").alias("part_of"))
-        links = links.union(_settle(spark, texts, placed, percent))
-    for used in (members, known, chosen, unsettled):
+        placed = stash(spark, opened.select("g", "name", "c").join(clusters, "c").select("g", "name", "cluster", F.col("c").alias("part_of")), "jac-placed")
+        whole = placed.select("name", "cluster", "part_of").distinct()
+        large = whole.groupBy("cluster").count().where(F.col("count") > CLUSTER_BLOCK * CLUSTER_BLOCKS).select("cluster")
+        if large.limit(1).count():
+            # chains of groups can tie very many sets into one cluster: there only members of one group are held against each other
+            whole = whole.join(large, "cluster", "left_anti").select("name", "cluster", "part_of").union(placed.join(large, "cluster", "left_semi").select("name", F.col("g").alias("cluster"), "part_of").distinct())
+        links = links.union(_settle(spark, texts, whole, percent))
+        unstash(spark, placed)
+    for used in (members, known, chosen, opened, hubs):
         unstash(spark, used)
     return links
 
@@ -495,73 +530,29 @@ def _between(sets: list, names: np.ndarray, comps: np.ndarray, part: np.ndarray,
     return out
 
 
-def _one_each(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """Rows that repeat a doc_id may bring a name twice; one of them is enough if its set is that of the name."""
-
-    @lean
-    def run(batches):
-        known = _Words()
-        for batch in batches:
-            for row in range(0, batch.num_rows, 400):
-                part = batch.slice(row, 400)
-                names = part.column(0).to_pylist()
-                keep = [i for i, own in enumerate(shingle_sets([t or "" for t in part.column(2).to_pylist()], known)) if set_name(own) == names[i]]
-                if keep:
-                    yield part.take(pa.array(keep))
-
-    several = texts.groupBy("name").count().where("count > 1").limit(1).count()
-    if not several:
-        return texts
-    schema = texts.schema
-    return stash(spark, texts.mapInArrow(run, schema).dropDuplicates(["name"]), "jac-texts")
-
-
-def _with_names(docs: DataFrame) -> DataFrame:
-    """The documents with jac_n and jac_set, size and name of each row's own set."""
-    schema = StructType([*docs.schema.fields, StructField("jac_n", LongType()), StructField("jac_set", LongType())])
-    given = docs.withColumn("jac_text", F.col("text").cast("string"))
-
-    @lean
-    def run(batches):
-        known = _Words()
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(batch.num_columns - 1)]
-            own = [(len(x), set_name(x)) for x in _sets(texts, known)]
-            more = [pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
-
-    return given.mapInArrow(run, schema)
-
-
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, one row of each component: that with the smallest doc_id and, in it, set.
 
     Rows of one doc_id with different sets are judged each by their own component. A component without any doc_id leaves
     one row too. A text without words is its own component: it leaves one row per doc_id, and stays where that is null.
+    Among rows that are equal in doc_id and text the one with the smallest hash of all columns stays.
     """
     best = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("comp_doc")) & (F.col("name") == F.col("comp_name")))
-    judged = stash(spark, _judged(spark, docs, percent).select("doc_id", "n", "name", best.alias("best")), "jac-judged")
-    by_id = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if("best").alias("count"), (F.min("name") < F.max("name")).alias("several"))
-    kept = stash(spark, by_id.where("count > 0"), "jac-kept").withColumnRenamed("doc_id", "jac_kept_id")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    order = F.xxhash64(*[c.cast("string") for c in columns])
-    rows = docs.join(kept.where("NOT several").hint("merge"), docs["doc_id"] == F.col("jac_kept_id"))
-    if kept.where("count > 1 AND NOT several").limit(1).count():
-        rows = rows.withColumn("jac_row", F.row_number().over(Window.partitionBy("jac_kept_id").orderBy(order))).where("jac_row = 1")
-    rows = rows.select(*[docs[c] for c in docs.columns])
-    # the rows whose doc_id alone does not say which set they hold
-    parts = []
-    if judged.where("doc_id IS NULL").limit(1).count():
-        parts.append(docs.where("doc_id IS NULL"))
-    if kept.where("several").limit(1).count():
-        parts.append(docs.join(kept.where("several"), docs["doc_id"] == F.col("jac_kept_id"), "left_semi"))
-    for part in parts:
-        open_rows = stash(spark, _with_names(part), "jac-open")
-        chosen = judged.where("best").select(F.col("doc_id").alias("jac_id"), F.col("name").alias("jac_name")).distinct()
-        mine = open_rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("jac_id")) & (F.col("jac_set") == F.col("jac_name")), "left_semi")
-        bare = (F.col("jac_n") == 0) & F.col("doc_id").isNull()
-        one = mine.where(~bare).groupBy("doc_id", "jac_set").agg(F.min_by(F.struct(*columns), order).alias("jac_one")).select("jac_one.*")
-        rows = rows.unionByName(mine.where(bare).select(*columns)).unionByName(one)
+    judged = _judged(spark, docs, percent)
+    nodes = stash(spark, judged.select("doc_id", "h", "n", "name", best.alias("best")), "jac-judged")
+    bare = (F.col("n") == 0) & F.col("doc_id").isNull()
+    wanted = nodes.where("best").where(~bare)
+    kept = stash(spark, wanted.groupBy(F.col("doc_id").alias("doc"), "name").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("jac_rows")).select("doc", "h", "jac_rows"), "jac-kept")
+    rows = rows_of(docs, kept)
+    if kept.where("jac_rows > 1").limit(1).count():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        order = F.xxhash64(*[c.cast("string") for c in columns])
+        many = rows.where("jac_rows > 1").groupBy("doc_id", text_key().alias("jac_h")).agg(F.min_by(F.struct(*columns), order).alias("jac_one")).select("jac_one.*")
+        rows = rows.where("jac_rows = 1").select(*columns).unionByName(many)
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if nodes.where(bare).limit(1).count():
+        empty = nodes.where(bare).select(F.col("h").alias("jac_bare")).distinct()
+        rows = rows.unionByName(docs.where("doc_id IS NULL").withColumn("jac_h", text_key()).join(empty, F.col("jac_h") == F.col("jac_bare"), "left_semi").drop("jac_h"))
     return rows
 
 

@@ -178,13 +178,30 @@ def test_quality_same_text_same_score(spark, monkeypatch):
 
 
 def test_suffix(spark, docs):
-    assert suffix.drop_repeats(spark, docs).count() == _count(docs)
+    from tests.llm.test_exact import _brute_repeats
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, got = _brute_repeats(rows), suffix.drop_repeats(spark, docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(i), len((t or "").encode())) for i, t in rows)
+    assert all((r.n_removed, r.n_spans, r.kept_sha256) in want[r.doc_id, r.n_bytes] for r in got)
 
 
 def test_jaccard(spark, docs):
-    got = jaccard.near_duplicates(spark, docs).collect()
-    assert len(got) == _count(docs)
-    assert jaccard.keep_one_of_each(spark, docs).columns == docs.columns
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark, docs).collect())
+    want = [("1", 6, 1), ("1", 6, 1), ("2", 0, 2), ("3", 0, 3), ("4", 1, 4), ("5", 1, 5), ("6", 1, 6), ("None", 6, None)]
+    assert got == (want if _count(docs) else [])
+    kept = jaccard.keep_one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == (["1", "2", "3", "4", "5", "6", "None"] if _count(docs) else [])
+
+
+def test_jaccard_rows_without_id(spark):
+    """Many rows of null id, equal and near ones among them, under names that the operator uses itself."""
+    base = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40)]
+    rows = [(None, b, "h", 1) for b in base] + [(None, b + " more", "h", 2) for b in base[:20]] + [(None, base[0], "h", 3)] * 50 + [(3, base[1], "h", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, doc long").repartition(5)
+    kept = jaccard.keep_one_of_each(spark, docs).collect()
+    assert len(kept) == 40 and sum(r.doc_id == 3 for r in kept) == 1 and {r.text.split()[0] for r in kept} == {b.split()[0] for b in base}
 
 
 def test_one_of_each_by_text_and_not_by_id(spark):

@@ -555,6 +555,13 @@ def test_components_against_all_pairs(spark):
     assert all(r.n_shingles in want[r.doc_id][0] and r.component_id == want[r.doc_id][1] for r in got)
 
 
+def test_components_with_small_parts(spark, monkeypatch):
+    """Groups in many parts, hubs dealt over tasks, clusters settled block by block and group by group."""
+    for name, value in (("PART", 2), ("HUB_LEAVES", 3), ("CLUSTER_BLOCK", 3), ("CLUSTER_BLOCKS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    test_components_against_all_pairs(spark)
+
+
 def test_jaccard_query(spark, sf, texts):
     want = _brute_components(list(texts.items()))
     assert all(r.n_shingles in want[r.doc_id][0] and r.component_id == want[r.doc_id][1] for r in QUERIES["op10_jaccard_join"](spark, sf).collect())
