@@ -67,3 +67,12 @@ def with_retained_past(candidates: DataFrame, retained: DataFrame, key: str, day
 def capped(rows: DataFrame, key: str, most: int, *order) -> DataFrame:
     """At most so many rows of a key, the first by a hash order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
+
+def index_pipeline(candidates: DataFrame, steps: dict, name: str) -> dict[str, DataFrame]:
+    """The candidates through filters in the order given, every result under the names of those it has passed."""
+    out = {name: candidates}
+    for suffix, step in steps.items():
+        candidates, name = step(candidates), f"{name}_{suffix}"
+        out[name] = candidates
+    return out

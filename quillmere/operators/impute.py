@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def uniform_bits(*parts: Column) -> Column:
+    """52 bits from the md5 of whole numbers, the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[x.cast("long").cast("string") for x in parts])), 1, 13), 16, 10).cast("long")
+
+
 def mask_hash(*parts: Column) -> Column:
     """0 to 999 from whole numbers, the same on every engine."""
-    primes, total = (7919, 104729, 1299709, 15485863), F.lit(0).cast("long")
-    for p, x in zip(primes, parts):
-        total = total + x.cast("long") * p
-    return F.pmod(total, F.lit(1000))
+    return F.pmod(uniform_bits(*parts), F.lit(1000))
+
+
+def neighbours(keys: list[str], order: list[str], value: Column) -> tuple[Column, Column]:
+    """The last value that is not null up to a row and the first from it on.
+
+    The second looks back along the reverse order: a frame that reaches forward would be read anew for each row.
+    """
+    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(back), F.last(value, ignorenulls=True).over(ahead)
 
 
 def channel_means(cells: DataFrame, channel: str, known: str) -> DataFrame:
@@ -22,16 +34,12 @@ def channel_means(cells: DataFrame, channel: str, known: str) -> DataFrame:
 
 def locf(keys: list[str], order: str, known: str) -> Column:
     """The last known value, for a head without one the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return F.coalesce(F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return F.coalesce(*neighbours(keys, [order], F.col(known)))
 
 
 def linear(keys: list[str], order: str, known: str) -> Column:
     """Between the neighbours by distance, flat outside them."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    at = F.when(F.col(known).isNotNull(), F.struct(F.col(order).alias("t"), F.col(known).alias("v")))
-    a = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    a, b = neighbours(keys, [order], F.when(F.col(known).isNotNull(), F.struct(F.col(order).alias("t"), F.col(known).alias("v"))))
     share = (F.col(order) - a["t"]) / (b["t"] - a["t"])
     return F.when(a.isNull(), b["v"]).when(b.isNull() | (a["t"] == b["t"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import itertools
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions.columns import geomean, skill_ratio
+from quillmere.operators.impute import uniform_bits
+from quillmere.operators.impute import uniform_bits
 from quillmere.operators.metrics import average_rank
 
 
@@ -80,13 +86,18 @@ def penalised(groups: DataFrame, keys: list[str], value: str, kind: str, weight:
     return groups.groupBy(*keys).agg((F.avg(value) - weight * DISPARITIES[kind](value)).alias("score"))
 
 
+#: The distribution function of Poisson(1) at 0, 1, ... below 1 in a double.
+POISSON_ONE = [c for c in itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(19)) if c < 1.0]
+
+
 def draw_weight(unit: Column, draw: Column, seed: int = 0) -> Column:
-    """How often a unit is in a draw: Poisson(1) from a hash of whole numbers, the same on every engine.
+    """How often a unit is in a draw: the inverse of Poisson(1) at the md5 of seed, draw and unit, the same on every engine.
 
-    Independent draws of each unit need no list of units, so the resampling runs where the rows are.
+    Independent draws of each unit need no list of units, so the resampling runs where the rows are. The distribution is
+    listed to where it is 1 in a double, so no count is cut off.
     """
-    h = F.pmod(F.pmod((unit.cast("long") * 7919 + draw.cast("long") * 104729 + seed), F.lit(1000003)) * 69069 + 12345, F.lit(1000003)) / F.lit(1000003.0)
-    return F.when(h < 0.36787944, 0).when(h < 0.73575888, 1).when(h < 0.91969860, 2).when(h < 0.98101184, 3).otherwise(4)
+    h = uniform_bits(F.lit(seed), draw, unit) / F.lit(float(1 << 52))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON_ONE]), lambda c: c <= h))
 
 
 def bootstrap(errors: DataFrame, keys: list[str], unit: str, value: str, draws: int, seed: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.operators.impute import neighbours
+
 
 def asof_nearest(queries: DataFrame, series: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
     """Each query with the value of the series nearest in time, either side; the earlier one on a tie.
@@ -17,9 +19,7 @@ def asof_nearest(queries: DataFrame, series: DataFrame, key: str, at: str, ts: s
     right = own.select(key, "_t", "_v", F.lit(False).alias("_q"))
     both = left.unionByName(right, allowMissingColumns=True)
     hit = F.when(~F.col("_q"), F.struct("_t", "_v"))
-    w = Window.partitionBy(key).orderBy(F.col("_t"), F.col("_q"))
-    before = F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = neighbours([key], ["_t", "_q"], hit)
     gap = lambda side: F.abs(F.timestamp_diff("MICROSECOND", F.col(f"{side}._t"), F.col("_t")))
     nearer = F.when(F.col("_b").isNull() | (gap("_a") < gap("_b")), F.col("_a")).otherwise(F.col("_b"))
     return both.withColumn("_b", before).withColumn("_a", after).where("_q").withColumn("_n", nearer).select(*queries.columns, F.col("_n._t").alias("match_ts"), F.col("_n._v").alias("match_value"))
@@ -38,14 +38,19 @@ def range_pairs(queries: DataFrame, series: DataFrame, key: str, at: str, ts: st
     return probe.join(build, [key, "_b"]).where((F.col(ts) >= F.col(at) - span) & (F.col(ts) <= F.col(at) + span)).drop("_b")
 
 
-def intervals_from_events(events: DataFrame, key: str, ts: str, name: str) -> DataFrame:
-    """Consecutive events of a key as [start, end) intervals; the last is open."""
+def intervals_from_events(events: DataFrame, key: str, ts: str, name: str, gap: str = "INTERVAL 1 SECOND") -> DataFrame:
+    """Each event of a key as an interval that holds both its ends: to `gap` before the next event, the last one open.
+
+    An event with less than that to its successor has no interval.
+    """
     w = Window.partitionBy(key).orderBy(ts, name)
-    return events.select(key, F.col(name).alias("name"), F.col(ts).alias("start"), F.lead(ts).over(w).alias("end"))
+    own = events.select(key, F.col(name).alias("name"), F.col(ts).alias("start"), (F.lead(ts).over(w) - F.expr(gap)).alias("end"))
+    return own.where("end IS NULL OR end >= start")
 
 
 def interval_lookup(queries: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
-    """Each query with the name of the interval it falls in; intervals of a key do not overlap, an open end is NULL.
+    """Each query with the name of the interval it falls in, both ends included; intervals of a key do not overlap or touch,
+    an open end is NULL.
 
     The same single pass as asof_nearest: the last interval that starts at or before the query, if it has not ended.
     """
@@ -53,7 +58,7 @@ def interval_lookup(queries: DataFrame, intervals: DataFrame, key: str, at: str)
     right = intervals.select(key, F.col("start").alias("_t"), F.struct("start", "end", "name").alias("_s"), F.lit(0).alias("_i"))
     w = Window.partitionBy(key).orderBy("_t", "_i").rowsBetween(Window.unboundedPreceding, 0)
     found = left.unionByName(right, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_i = 1")
-    inside = F.col("_s.end").isNull() | (F.col("_t") < F.col("_s.end"))
+    inside = F.col("_s.end").isNull() | (F.col("_t") <= F.col("_s.end"))
     return found.select(*queries.columns, F.when(inside, F.col("_s.name")).alias("interval_name"), F.when(inside, F.col("_s.start")).alias("interval_start"))
 
 

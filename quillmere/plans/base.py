@@ -53,9 +53,25 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 EVENTS = """ev AS (SELECT event_id, ts, user_id, event_type AS channel, value, props, (floor(epoch(ts) / 3600))::BIGINT - 473352 AS hour_idx, ts::DATE AS day FROM events)"""
 CHANNEL_NO = "(CASE channel WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END)"
 CATEGORY_SQL = "(CASE channel WHEN 'click' THEN 'activity' WHEN 'view' THEN 'activity' WHEN 'purchase' THEN 'physiology' WHEN 'error' THEN 'sleep' ELSE 'workouts' END)"
+
+
+def uniform_sql(*parts: str) -> str:
+    """The 52 bits of impute.uniform_bits."""
+    joined = " || ':' || ".join(f"({p})::BIGINT::VARCHAR" for p in parts)
+    return f"('0x' || substr(md5({joined}), 1, 13))::BIGINT"
+
+
+def mask_sql(*parts: str) -> str:
+    return f"({uniform_sql(*parts)} % 1000)"
+
+
+def draw_sql(seed: int, draw: str = "k", unit: str = "user_id") -> str:
+    return f"{uniform_sql(str(seed), draw, unit)} / 4503599627370496.0::DOUBLE AS h"
+
+
 CELLS = EVENTS + f""",
 c0 AS (SELECT user_id, channel, hour_idx, sum(value) AS v FROM ev GROUP BY ALL),
-cells AS (SELECT *, (user_id * 7919 + hour_idx * 104729 + {CHANNEL_NO} * 1299709) % 1000 < 500 AS masked FROM c0)"""
+cells AS (SELECT *, {mask_sql("user_id", "hour_idx", CHANNEL_NO)} < 500 AS masked FROM c0)"""
 PREDICTIONS = CELLS + """,
 kn AS (SELECT *, CASE WHEN NOT masked THEN v END AS known FROM cells),
 cm AS (SELECT channel, avg(known) AS m FROM kn GROUP BY 1),

@@ -9,7 +9,7 @@ from quillmere.functions.columns import geomean, nearest_quantile, ratio, skill_
 from quillmere.operators import impute as I
 from quillmere.operators import leaderboard as L
 from quillmere.operators import metrics as M
-from quillmere.plans.base import CELLS, CHANNEL_NO, CHANNELS, EVENTS, PREDICTIONS, USER_ERRORS, cells, events, lookup, predictions, query, table, user_errors
+from quillmere.plans.base import CELLS, CHANNEL_NO, CHANNELS, EVENTS, PREDICTIONS, USER_ERRORS, cells, draw_sql, events, lookup, mask_sql, predictions, query, table, user_errors
 from quillmere.plans.tracks import _FORECAST, _RANKED, _SERIES, _WEIGHT, _forecast, _slots
 
 
@@ -23,11 +23,11 @@ def mask_intensity_failure(spark, d):
     return e.where("channel = 'purchase'").join(slots, ["user_id", "slot"], "left_semi").select("user_id", "channel", "hour_idx").distinct()
 
 
-@query("mask_applicability", f"""WITH {EVENTS}, a AS (SELECT DISTINCT user_id, CASE channel WHEN 'error' THEN 'sleep_gap' WHEN 'signup' THEN 'workout_gap' END AS scenario FROM ev WHERE channel IN ('error', 'signup') AND day < DATE '2024-01-04')
+@query("mask_applicability", f"""WITH {EVENTS}, a AS (SELECT DISTINCT user_id, CASE channel WHEN 'error' THEN 'sleep_gap' WHEN 'signup' THEN 'workout_gap' END AS scenario FROM ev WHERE channel IN ('error', 'signup') AND value > 100)
 SELECT scenario, count(*) AS n_users FROM a GROUP BY 1 UNION ALL SELECT 'any', count(DISTINCT user_id) FROM a""")
 def mask_applicability(spark, d):
     scenario = F.when(F.col("channel") == "error", "sleep_gap").otherwise("workout_gap")
-    a = events(spark, d).where("channel IN ('error', 'signup') AND day < DATE '2024-01-04'").select("user_id", scenario.alias("scenario")).distinct()
+    a = events(spark, d).where("channel IN ('error', 'signup') AND value > 100").select("user_id", scenario.alias("scenario")).distinct()
     return a.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_users")).union(a.agg(F.lit("any"), F.countDistinct("user_id")))
 
 
@@ -140,9 +140,9 @@ def hour_bitmap(spark, d):
     return b.select("user_id", F.col("day").cast("string").alias("day"), "bits", F.bit_count("bits").alias("n_hours"))
 
 
-@query("subset_gate", f"WITH {EVENTS}, c AS (SELECT user_id, list(DISTINCT channel) AS c FROM ev WHERE day < DATE '2024-01-03' GROUP BY 1) SELECT user_id, list_contains(c, 'click') AND list_contains(c, 'view') AS complete FROM c")
+@query("subset_gate", f"WITH {EVENTS}, c AS (SELECT user_id, list(DISTINCT channel) AS c FROM ev WHERE value > 100 GROUP BY 1) SELECT user_id, list_contains(c, 'click') AND list_contains(c, 'view') AS complete FROM c")
 def subset_gate(spark, d):
-    c = events(spark, d).where("day < DATE '2024-01-03'").groupBy("user_id").agg(F.collect_set("channel").alias("c"))
+    c = events(spark, d).where("value > 100").groupBy("user_id").agg(F.collect_set("channel").alias("c"))
     return c.select("user_id", (F.size(F.array_except(F.array(F.lit("click"), F.lit("view")), "c")) == 0).alias("complete"))
 
 
@@ -154,7 +154,7 @@ def split_ratio_check(spark, d):
     return s.crossJoin(s.agg(F.sum("n").alias("t"))).select("split", "n", (F.abs(F.col("n") / F.col("t") - want) <= 0.05).alias("within"))  # three rows by one
 
 
-@query("hash_split", f"WITH {EVENTS}, u AS (SELECT DISTINCT user_id FROM ev), r AS (SELECT user_id, row_number() OVER (ORDER BY (user_id * 7919) % 1000, user_id) AS i, count(*) OVER () AS n FROM u) SELECT user_id, CASE WHEN i <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN i <= greatest(1, floor(n * 0.7)) + greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'test' END AS split FROM r")
+@query("hash_split", f"WITH {EVENTS}, u AS (SELECT DISTINCT user_id FROM ev), r AS (SELECT user_id, row_number() OVER (ORDER BY {mask_sql("user_id")}, user_id) AS i, count(*) OVER () AS n FROM u) SELECT user_id, CASE WHEN i <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN i <= greatest(1, floor(n * 0.7)) + greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'test' END AS split FROM r")
 def hash_split(spark, d):
     """Exact shares in hash order: ranks come from counts of the 1000 hash values, not from one global window."""
     u = events(spark, d).select("user_id").distinct().withColumn("h", I.mask_hash(F.col("user_id")))
@@ -181,7 +181,7 @@ def task_summary(spark, d):
 
 
 @query("bootstrap_ranks", f"""WITH {USER_ERRORS}, r AS (SELECT method, channel, user_id, {_RANKED.format(k="channel, user_id", x="round(e, 9)")} AS rk FROM ue), pu AS (SELECT method, user_id, avg(rk) AS v FROM r GROUP BY 1, 2),
-dr AS (SELECT method, v, k AS draw, ((((user_id * 7919 + k * 104729 + 11) % 1000003) * 69069 + 12345) % 1000003) / 1000003.0::DOUBLE AS h FROM pu, range(0, 50) t(k)) SELECT method, draw::INTEGER AS draw, round(sum({_WEIGHT} * v) / sum({_WEIGHT}), 6) AS mean_rank FROM dr GROUP BY 1, 2
+dr AS (SELECT method, v, k AS draw, {draw_sql(11, "k", "user_id")} FROM pu, range(0, 50) t(k)) SELECT method, draw::INTEGER AS draw, round(sum({_WEIGHT} * v) / sum({_WEIGHT}), 6) AS mean_rank FROM dr GROUP BY 1, 2
 UNION ALL SELECT method, -1, round(avg(v), 6) FROM pu GROUP BY 1""")
 def bootstrap_ranks(spark, d):
     """Mean ranks of each draw; draw -1 is the data as it is."""
@@ -192,7 +192,7 @@ def bootstrap_ranks(spark, d):
 
 
 @query("bootstrap_skill", f"""WITH {USER_ERRORS}, p AS (SELECT m.method, m.user_id, avg(ln(greatest(0.01, least(100, m.e / b.e))::DOUBLE)) AS v FROM ue m JOIN ue b ON b.method = 'locf' AND b.channel = m.channel AND b.user_id = m.user_id WHERE m.method <> 'locf' AND b.e > 0 GROUP BY 1, 2),
-dr AS (SELECT method, v, k AS draw, ((((user_id * 7919 + k * 104729 + 13) % 1000003) * 69069 + 12345) % 1000003) / 1000003.0::DOUBLE AS h FROM p, range(0, 50) t(k)) SELECT method, draw::INTEGER AS draw, round(1 - exp(sum({_WEIGHT} * v) / sum({_WEIGHT})), 6) AS skill FROM dr GROUP BY 1, 2""")
+dr AS (SELECT method, v, k AS draw, {draw_sql(13, "k", "user_id")} FROM p, range(0, 50) t(k)) SELECT method, draw::INTEGER AS draw, round(1 - exp(sum({_WEIGHT} * v) / sum({_WEIGHT})), 6) AS skill FROM dr GROUP BY 1, 2""")
 def bootstrap_skill(spark, d):
     w = Window.partitionBy("channel", "user_id")
     e = user_errors(spark, d).withColumn("b", F.max(F.when(F.col("method") == "locf", F.col("e"))).over(w)).where("method <> 'locf'")
@@ -200,7 +200,7 @@ def bootstrap_skill(spark, d):
     return L.bootstrap(logs, ["method"], "user_id", "lr", 50, 13).select("method", "draw", tidy(1 - F.exp("estimate")).alias("skill"))
 
 
-@query("fairness_draws", f"""WITH {USER_ERRORS}, pu AS (SELECT method, user_id, avg(e) AS v FROM ue GROUP BY 1, 2), dr AS (SELECT method, user_id % 5 AS band, v, k AS draw, ((((user_id * 7919 + k * 104729 + 17) % 1000003) * 69069 + 12345) % 1000003) / 1000003.0::DOUBLE AS h FROM pu, range(0, 20) t(k)),
+@query("fairness_draws", f"""WITH {USER_ERRORS}, pu AS (SELECT method, user_id, avg(e) AS v FROM ue GROUP BY 1, 2), dr AS (SELECT method, user_id % 5 AS band, v, k AS draw, {draw_sql(17, "k", "user_id")} FROM pu, range(0, 20) t(k)),
 g AS (SELECT method, draw, band, sum({_WEIGHT} * v) / nullif(sum({_WEIGHT}), 0) AS e FROM dr GROUP BY ALL) SELECT a.method, a.draw::INTEGER AS draw, round(avg(abs(a.e - b.e)), 6) AS mapd FROM g a JOIN g b ON a.method = b.method AND a.draw = b.draw AND a.band < b.band GROUP BY 1, 2""")
 def fairness_draws(spark, d):
     """Disparity between bands in each draw."""

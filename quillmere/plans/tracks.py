@@ -10,7 +10,7 @@ from quillmere.operators import calendar as C
 from quillmere.operators import impute as I
 from quillmere.operators import leaderboard as L
 from quillmere.operators import metrics as M
-from quillmere.plans.base import CATEGORY, CATEGORY_SQL, CELLS, CHANNEL_NO, CHANNELS, EVENTS, PREDICTIONS, USER_ERRORS, cells, events, lookup, predictions, query, table, user_errors
+from quillmere.plans.base import CATEGORY, CATEGORY_SQL, CELLS, CHANNEL_NO, CHANNELS, EVENTS, PREDICTIONS, USER_ERRORS, cells, draw_sql, events, lookup, mask_sql, predictions, query, table, user_errors
 
 
 @query("impute_predictions", f"WITH {PREDICTIONS} SELECT method, user_id, channel, hour_idx, round(gt, 6) AS gt, round(pred, 6) AS pred FROM preds")
@@ -88,7 +88,7 @@ def hour_profile_fill(spark, d):
 
 
 @query("mask_random_block", f"""WITH {CELLS}, b AS (SELECT user_id, channel, hour_idx // 24 AS block, count(*) AS n FROM cells GROUP BY ALL),
-o AS (SELECT *, (user_id * 7919 + block * 104729 + {CHANNEL_NO} * 1299709) % 1000 AS h FROM b),
+o AS (SELECT *, {mask_sql("user_id", "block", CHANNEL_NO)} AS h FROM b),
 r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY h, {CHANNEL_NO}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, sum(n) OVER (PARTITION BY user_id) AS total FROM o)
 SELECT user_id, channel, block, n AS n_masked FROM r WHERE done < floor(total * 0.5)""")
 def mask_random_block(spark, d):
@@ -109,7 +109,7 @@ def mask_temporal_slice(spark, d):
 
 
 @query("mask_signal_slice", f"""WITH {CELLS}, x AS (SELECT DISTINCT user_id, hour_idx // 24 AS d, channel FROM cells),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY (user_id * 7919 + d * 104729 + {CHANNEL_NO} * 1299709) % 1000, {CHANNEL_NO}) AS i, count(*) OVER (PARTITION BY user_id, d) AS n FROM x)
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY {mask_sql("user_id", "d", CHANNEL_NO)}, {CHANNEL_NO}) AS i, count(*) OVER (PARTITION BY user_id, d) AS n FROM x)
 SELECT user_id, d AS day_no, channel FROM r WHERE CASE WHEN (user_id + d) % 2 = 0 THEN i <= ceil(n * 0.5) ELSE channel IN ('click', 'view') END""")
 def mask_signal_slice(spark, d):
     x = cells(spark, d).select("user_id", F.floor(F.col("hour_idx") / 24).alias("day_no"), "channel").distinct()
@@ -201,8 +201,12 @@ def average_precision(spark, d):
     return M.average_precision(rows, ["lang"], "quality", "n_chars").withColumn("ap", tidy(F.col("ap")))
 
 
-@query("weighted_auc_draws", """WITH b AS (SELECT doc_id, quality AS y, n_chars AS x, k AS draw, ((((doc_id * 7919 + k * 104729) % 1000003) * 69069 + 12345) % 1000003) / 1000003.0::DOUBLE AS h FROM labels JOIN documents USING (doc_id), range(0, 20) r(k) WHERE quality IS NOT NULL),
-w AS (SELECT *, CASE WHEN h < 0.36787944 THEN 0 WHEN h < 0.73575888 THEN 1 WHEN h < 0.91969860 THEN 2 WHEN h < 0.98101184 THEN 3 ELSE 4 END AS w FROM b),
+#: The weight at h of draw_sql, as leaderboard.draw_weight gives it.
+_WEIGHT = f"len(list_filter({L.POISSON_ONE}::DOUBLE[], lambda c: c <= h))"
+
+
+@query("weighted_auc_draws", f"""WITH b AS (SELECT doc_id, quality AS y, n_chars AS x, k AS draw, {draw_sql(0, "k", "doc_id")} FROM labels JOIN documents USING (doc_id), range(0, 20) r(k) WHERE quality IS NOT NULL),
+w AS (SELECT *, {_WEIGHT} AS w FROM b),
 t AS (SELECT draw, x, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n FROM w GROUP BY 1, 2),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY draw ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t)
 SELECT draw, round(sum(p * (b + n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)), 6) AS auc FROM c GROUP BY 1""")
@@ -272,7 +276,7 @@ def forecast_candidates(spark, d):
     return C.with_retained_past(C.with_retained_future(candidates, kept, "user_id", 2), kept, "user_id", 7, 3)
 
 
-@query("per_user_cap", f"""WITH {EVENTS}, x AS (SELECT DISTINCT user_id, hour_idx // 24 AS day FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (user_id * 7919 + day * 104729) % 1000, day) AS i FROM x) SELECT user_id, day FROM r WHERE i <= 5""")
+@query("per_user_cap", f"""WITH {EVENTS}, x AS (SELECT DISTINCT user_id, hour_idx // 24 AS day FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {mask_sql("user_id", "day")}, day) AS i FROM x) SELECT user_id, day FROM r WHERE i <= 5""")
 def per_user_cap(spark, d):
     days = events(spark, d).select("user_id", F.floor(F.col("hour_idx") / 24).alias("day")).distinct()
     return C.capped(days, "user_id", 5, I.mask_hash(F.col("user_id"), F.col("day")), "day")
@@ -416,8 +420,7 @@ def subgroup_skill(spark, d):
 
 # -- resampling
 
-_WEIGHT = "CASE WHEN h < 0.36787944 THEN 0 WHEN h < 0.73575888 THEN 1 WHEN h < 0.91969860 THEN 2 WHEN h < 0.98101184 THEN 3 ELSE 4 END"
-_DRAWS = USER_ERRORS + f""", pu AS (SELECT method, user_id, avg(e) AS v FROM ue GROUP BY 1, 2), dr AS (SELECT method, user_id, v, k AS draw, ((((user_id * 7919 + k * 104729 + 7) % 1000003) * 69069 + 12345) % 1000003) / 1000003.0::DOUBLE AS h FROM pu, range(0, 100) r(k)),
+_DRAWS = USER_ERRORS + f""", pu AS (SELECT method, user_id, avg(e) AS v FROM ue GROUP BY 1, 2), dr AS (SELECT method, user_id, v, k AS draw, {draw_sql(7, "k", "user_id")} FROM pu, range(0, 100) r(k)),
 bt AS (SELECT method, draw, sum({_WEIGHT} * v) / nullif(sum({_WEIGHT}), 0) AS estimate FROM dr GROUP BY 1, 2)"""
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("date", T.DateType()), T.StructField("values", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("total_nonwear_minutes", T.FloatType()), T.StructField("channel_variance", T.ArrayType(T.FloatType()))])
 PAIRS = T.StructType([T.StructField("scenario", T.StringType()), T.StructField("split", T.StringType()), T.StructField("channel", T.IntegerType()), T.StructField("sample_idx", T.IntegerType()), T.StructField("timestep", T.ShortType()), T.StructField("gt", T.FloatType()), T.StructField("pred", T.FloatType())])
-MANIFEST = T.StructType([T.StructField("sample_idx", T.IntegerType()), T.StructField("user_id", T.StringType()), T.StructField("date", T.DateType())])
+MANIFEST = T.StructType([T.StructField("sample_idx", T.LongType()), T.StructField("user_id", T.StringType()), T.StructField("date", T.DateType())])
 USER_ERRORS = T.StructType([T.StructField(n, T.StringType()) for n in ("method", "scenario", "split", "channel", "channel_type", "subgroup_attr", "subgroup_value", "user_id")] + [T.StructField("e", T.FloatType())])
 SERIES_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([T.StructField("timestamps", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.StringType()))])))
 
@@ -37,13 +37,20 @@ def write_pairs(predictions: DataFrame, path: str) -> None:
     write_partitioned(predictions.where(ok("gt") & ok("pred")), path, ["scenario", "split", "channel"])
 
 
-def sample_manifest(days: DataFrame, user: str = "user_id", date: str = "date") -> DataFrame:
-    """Sample numbers in the order of users and dates, by partition offsets and not by one global window."""
-    ordered = days.select(user, date).distinct().repartitionByRange(F.col(user), F.col(date)).sortWithinPartitions(user, date)
-    placed = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_lo"))
-    offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_off"), F.first("a._lo").alias("_lo"))
-    return placed.join(offsets, "_p").select((F.col("_off") + F.col("_i") - F.col("_lo")).cast("int").alias("sample_idx"), user, date)
+def sample_manifest(days: DataFrame, path: str, user: str = "user_id", date: str = "date") -> DataFrame:
+    """Sample numbers in the order of users and dates, by offsets of parts and not by one global window.
+
+    The ordered rows are written to `path` once, with their part and their place in it; numbers come from what was written,
+    so a part that is computed again cannot be numbered differently. Numbers are longs.
+    """
+    spark = days.sparkSession
+    ordered = days.select(user, date).distinct().repartitionByRange(F.col(user), F.col(date)).withColumn("_p", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(user, date)) - 1
+    ordered.withColumn("_i", place).write.mode("errorifexists").parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_off"))
+    return placed.join(offsets, "_p").select((F.col("_off") + F.col("_i")).cast("long").alias("sample_idx"), user, date)
 
 
 def read_label_series(spark: SparkSession, path: str) -> DataFrame:

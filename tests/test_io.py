@@ -23,9 +23,9 @@ def test_pairs_are_finite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
 
 
-def test_manifest_numbers_rows(spark):
+def test_manifest_numbers_rows(spark, tmp_path):
     days = spark.createDataFrame([(u, d) for u in ("b", "a", "c") for d in (3, 1, 2)], "user_id string, date int")
-    got = sorted(tuple(r) for r in T.sample_manifest(days).collect())
+    got = sorted(tuple(r) for r in T.sample_manifest(days, str(tmp_path / "m")).collect())
     assert got == [(i, u, d) for i, (u, d) in enumerate((u, d) for u in "abc" for d in (1, 2, 3))]
 
 

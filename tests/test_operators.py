@@ -90,7 +90,11 @@ def test_range_and_intervals(spark):
     assert J.range_pairs(q, s, "k", "ts", "sts", 3).count() == 3
     spans = J.intervals_from_events(spark.createDataFrame([(1, _T + timedelta(days=d), f"n{d}") for d in (2, 9, 12)], "k int, t timestamp_ntz, n string"), "k", "t", "n")
     assert J.interval_lookup(q, spans, "k", "ts").first().interval_name == "n9"
-    assert J.interval_overlaps(spans.where("end IS NOT NULL"), "k").count() == 1  # ends touch
+    closed = spark.createDataFrame([(1, _T, _T + timedelta(days=1), "a"), (1, _T + timedelta(days=2), _T + timedelta(days=3), "b")], "k int, start timestamp_ntz, end timestamp_ntz, name string")
+    at = spark.createDataFrame([(i, 1, _T + timedelta(days=x)) for i, x in enumerate((0, 1, 1.5, 2, 3, 4))], "i int, k int, ts timestamp_ntz")
+    assert [r.interval_name for r in J.interval_lookup(at, closed, "k", "ts").orderBy("i").collect()] == ["a", "a", None, "b", "b", None]  # both ends belong to it
+    touching = closed.withColumn("end", F.expr("end + INTERVAL 1 DAY"))
+    assert J.interval_overlaps(touching, "k").count() == 1 and J.interval_overlaps(closed, "k").count() == 0
     merged = J.merge_by_precedence(spark.createDataFrame([(1, 10)], "k int, v int"), spark.createDataFrame([(1, 20), (2, 30)], "k int, v int"), ["k"], "v")
     assert {tuple(r) for r in merged.collect()} == {(1, 10), (2, 30)}
 
@@ -158,6 +162,57 @@ def test_leaderboard(spark):
     assert fair == {"base": pytest.approx(0.0), "fair": pytest.approx(0.75)}
 
 
+def test_resampling_matches_theory(spark):
+    """Standard errors within 10 % of theory, in any order of values; weights are Poisson(1) and independent."""
+    for n, draws in ((150, 1500), (15_000, 400)):
+        for trend in (False, True):
+            rows = spark.range(n).select(F.lit("m").alias("method"), "id", (F.col("id") / n if trend else F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("e"))
+            s = L.draw_summary(L.bootstrap(rows, ["method"], "id", "e", draws), ["method"]).first()
+            sd = rows.agg(F.stddev_pop("e")).first()[0]
+            assert abs(s.se / (sd / math.sqrt(n)) - 1) < 0.1, (n, trend)
+    w = spark.range(40_000).select(L.draw_weight(F.col("id"), F.lit(3)).alias("a"), L.draw_weight(F.col("id") + 1, F.lit(3)).alias("b"), L.draw_weight(F.col("id"), F.lit(4)).alias("c"))
+    got = w.agg(F.avg("a").alias("m"), F.var_pop("a").alias("v"), F.max("a").alias("top"), F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac")).first()
+    assert abs(got.m - 1) < 0.03 and abs(got.v - 1) < 0.05 and got.top >= 6 and abs(got.ab) < 0.03 and abs(got.ac) < 0.03
+
+
+def test_one_long_series(spark):
+    """200,000 rows of one key take seconds: no frame is read anew for each row."""
+    import time
+
+    rows = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 1000 == 500, F.col("id").cast("double")).alias("v"))
+    began = time.time()
+    got = rows.select("t", I.locf(["k"], "t", "v").alias("a"), I.linear(["k"], "t", "v").alias("b")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    assert time.time() - began < 60 and got.a == sum(500 if t < 500 else (t - 500) // 1000 * 1000 + 500 for t in range(200_000))
+    assert got.b == pytest.approx(sum(min(max(t, 500), 199_500) for t in range(200_000)))
+
+
+def test_leave_one_out_mode(spark):
+    from collections import Counter
+
+    from quillmere.operators import labels as LB
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(6), rng.choice([None, 1, 1, 2, 3])) for i in range(60)] + [(99, 9, 5)]
+    got = {r.i: r.mode for r in LB.leave_one_out_mode(spark.createDataFrame(rows, "i int, k int, v int"), ["k"], "v").collect()}
+    for i, k, _ in rows:
+        others = Counter(v for j, kk, v in rows if kk == k and j != i and v is not None)
+        assert got[i] == (min(others, key=lambda v: (-others[v], v)) if others else None)
+
+
+def test_labels_and_manifest(spark):
+    from quillmere.operators import labels as LB
+
+    s = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 30)], "u string, t int, v int")
+    m = spark.createDataFrame([("a", [True, False]), ("b", [False, True])], "u string, mask array<boolean>")
+    got = LB.attach_validity(s, m, ["u"], ["t"])
+    assert {(r.v, r.valid) for r in got.collect()} == {(10, True), (20, False), (30, None)}  # a mask of another length does not count
+    assert {r.v for r in LB.only_valid(got).collect()} == {10, 30}
+    with pytest.raises(ValueError):
+        LB.with_manifest(s, m.where("u = 'a'"), ["u"], strict=True)
+    assert LB.with_manifest(s, m.where("u = 'a'").select("u"), ["u"]).count() == 2
+    assert LB.covariates(s, "v", {"v": ["t"]}).columns == ["u"]
+
+
 def test_resampling(spark):
     rng = random.Random(4)
     errors = spark.createDataFrame([("m", u, rng.gauss(10, 2)) for u in range(200)], "method string, user_id long, e double")
