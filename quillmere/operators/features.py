@@ -87,3 +87,20 @@ def cross_correlation(rows: DataFrame, key: str, order: str, x: str, y: str, lag
 
 def weekend(date: Column) -> Column:
     return F.weekday(date) >= 5
+
+
+def autoregression(rows: DataFrame, key: str, order: str, value: str, least: int = 4) -> DataFrame:
+    """ar1, ar2 and intercept of an autoregression of first differences, by least squares from means and covariances."""
+    w = Window.partitionBy(key).orderBy(order)
+    y = rows.withColumn("_y", F.col(value) - F.lag(value).over(w))
+    laid = y.withColumn("_a", F.lag("_y").over(w)).withColumn("_b", F.lag("_y", 2).over(w)).where("_b IS NOT NULL")
+    m = laid.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ym"), F.avg("_a").alias("_am"), F.avg("_b").alias("_bm"), F.var_pop("_a").alias("_aa"), F.var_pop("_b").alias("_bb"),
+        F.covar_pop("_a", "_b").alias("_ab"), F.covar_pop("_y", "_a").alias("_ya"), F.covar_pop("_y", "_b").alias("_yb"),
+    )
+    det = F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab")
+    ok = (F.col("_n") >= least) & (det > 1e-9 * F.col("_aa") * F.col("_bb"))
+    first = F.when(ok, (F.col("_ya") * F.col("_bb") - F.col("_yb") * F.col("_ab")) / det)
+    second = F.when(ok, (F.col("_yb") * F.col("_aa") - F.col("_ya") * F.col("_ab")) / det)
+    fitted = m.withColumn("ar1", first).withColumn("ar2", second).withColumn("intercept", F.col("_ym") - F.col("ar1") * F.col("_am") - F.col("ar2") * F.col("_bm"))
+    return rows.select(key).distinct().join(fitted.select(key, "ar1", "ar2", "intercept"), key, "left")

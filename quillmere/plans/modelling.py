@@ -9,32 +9,39 @@ from quillmere import api
 from quillmere.functions.columns import tidy
 from quillmere.operators import features as FT
 from quillmere.operators import models as ML
-from quillmere.plans.base import USER_ERRORS, cells, events, query, table
+from quillmere.plans.base import EVENTS, USER_ERRORS, cells, events, query, table
 
 
-def _embedded(spark, d):
-    e = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
-    score = F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda a, b: a + b)
-    return e.select("vec_id", "x", "label", (score > 0).cast("int").alias("y"), score.alias("z"), (F.col("vec_id") % 10 < 7).alias("train"))
+def _described(spark, d):
+    """Labelled documents by shares of kinds of characters and words in their text; three of ten are held out."""
+    t = F.coalesce("text", F.lit(""))
+    n, words = F.greatest(F.length(t), F.lit(1)), F.split(F.trim(t), r"\s+")
+    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", r"\s", "[.,;:]", "[!#$%&*@|]", "[^\\x00-\\x7F]", r"\n"]
+    x = F.array(*[share(k) for k in kinds], F.log1p(n.cast("double")), F.size(F.array_distinct(words)) / F.size(words), n / F.size(words))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) < 7
+    return docs.select("doc_id", x.alias("x"), F.col("quality").cast("int").alias("y"), F.col("quality").cast("double").alias("z"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("level"), train.alias("train"))
 
 
 @query("probe_binary")
 def probe_binary(spark, d):
-    """Probability of a hidden sign, learnt from vectors."""
-    e = _embedded(spark, d)
-    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "y", "binary", components=50).select("vec_id", "y", tidy(F.col("prediction"), 4).alias("p"))
+    """Probability that a document is of quality."""
+    e = _described(spark, d)
+    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "y", "binary").select("doc_id", "y", tidy(F.col("prediction"), 4).alias("p"))
 
 
 @query("probe_regression")
 def probe_regression(spark, d):
-    e = _embedded(spark, d)
-    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "z", "regression", robust=True).select("vec_id", tidy(F.col("z"), 4).alias("z"), tidy(F.col("prediction"), 4).alias("p"))
+    e = _described(spark, d)
+    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "z", "regression", robust=True).select("doc_id", tidy(F.col("z"), 4).alias("z"), tidy(F.col("prediction"), 4).alias("p"))
 
 
 @query("probe_ordinal")
 def probe_ordinal(spark, d):
-    e = _embedded(spark, d).withColumn("level", F.when(F.col("z") < -0.3, 0).when(F.col("z") < 0.3, 1).otherwise(2))
-    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "level", "ordinal", unit=True).select("vec_id", "level", F.col("prediction").cast("int").alias("p"))
+    """Level of a document: one for quality, one for not being toxic."""
+    e = _described(spark, d)
+    return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "level", "ordinal", unit=True).select("doc_id", "level", F.col("prediction").cast("int").alias("p"))
 
 
 @query("profile_components")
@@ -56,15 +63,16 @@ def smoothing_forecast(spark, d):
     return got.select("user_id", "channel", "ahead", tidy(F.col("pred"), 4).alias("pred"))
 
 
-@query("autoregression")
+@query("autoregression", f"""WITH {EVENTS}, s AS (SELECT user_id, hour_idx // 24 AS step, sum(value) AS v FROM ev GROUP BY 1, 2), a AS (SELECT *, v - lag(v) OVER w AS y FROM s WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+b AS (SELECT user_id, y, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+m AS (SELECT user_id, count(*) FILTER (x2 IS NOT NULL) AS n, avg(y) FILTER (x2 IS NOT NULL) AS ym, avg(x1) FILTER (x2 IS NOT NULL) AS m1, avg(x2) AS m2, var_pop(x1) FILTER (x2 IS NOT NULL) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(y, x1) FILTER (x2 IS NOT NULL) AS y1, covar_pop(y, x2) AS y2 FROM b GROUP BY 1),
+c AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM m), r AS (SELECT *, n >= 4 AND det > 1e-9 * s11 * s22 AS ok FROM c), k AS (SELECT *, CASE WHEN ok THEN (y1 * s22 - y2 * s12) / det END AS a1, CASE WHEN ok THEN (y2 * s11 - y1 * s12) / det END AS a2 FROM r)
+SELECT user_id, round(a1, 4) AS ar1, round(a2, 4) AS ar2, round(ym - a1 * m1 - a2 * m2, 4) AS intercept FROM k""")
 def autoregression(spark, d):
-    def run(pdf):
-        y = pdf.sort_values("step")["v"].to_numpy(dtype=float)
-        a = ML.autoregression(y)
-        return pdf[["user_id"]].head(1).assign(ar1=a[0], ar2=a[1], intercept=a[2])
-
+    """Two coefficients of first differences by least squares, from sums; NULL where the series is short or does not vary."""
     s = events(spark, d).groupBy("user_id", F.floor(F.col("hour_idx") / 24).alias("step")).agg(F.sum("value").alias("v"))
-    return s.groupBy("user_id").applyInPandas(run, "user_id long, ar1 double, ar2 double, intercept double").select("user_id", *[tidy(F.nanvl(c, F.lit(None).cast("double")), 4).alias(c) for c in ("ar1", "ar2", "intercept")])
+    got = FT.autoregression(s, "user_id", "step", "v")
+    return got.select("user_id", *[tidy(F.col(c), 4).alias(c) for c in ("ar1", "ar2", "intercept")])
 
 
 def _last_value(known: np.ndarray, hidden: np.ndarray) -> np.ndarray:

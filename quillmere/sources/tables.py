@@ -75,3 +75,53 @@ def write_results(frame: DataFrame, path: str, kind: str = "json") -> None:
     """Result tables as JSON lines, CSV or Parquet."""
     writer = frame.write.mode("overwrite")
     {"json": writer.json, "csv": lambda p: writer.option("header", "true").csv(p), "parquet": writer.parquet}[kind](path)
+
+
+def write_masks(masks: DataFrame, path: str) -> None:
+    """Hidden cells, a folder per split and scenario; what is there of other scenarios stays."""
+    write_partitioned(masks, path, ["split", "scenario"])
+
+
+def read_masks(spark: SparkSession, path: str, split: str | None = None, scenario: str | None = None) -> DataFrame:
+    """All masks, or those of a split or scenario: only their folders are read."""
+    frame = spark.read.parquet(path)
+    for column, value in (("split", split), ("scenario", scenario)):
+        frame = frame if value is None else frame.where(F.col(column) == value)
+    return frame
+
+
+def write_window_index(index: DataFrame, path: str) -> None:
+    """Windows with their day offsets as an array column, by user in order; NaN becomes NULL."""
+    clean = [F.nanvl(c.name, F.lit(None).cast(c.dataType)).alias(c.name) if isinstance(c.dataType, (T.DoubleType, T.FloatType)) else F.col(c.name) for c in index.schema]
+    index.select(*clean).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def write_task_predictions(predictions: DataFrame, path: str, kind: str) -> None:
+    """user_id, y_true, y_pred and y_proba, sorted by user inside the files."""
+    from quillmere.operators.labels import prediction_table
+
+    own = prediction_table(predictions, kind).select("user_id", "y_true", "y_pred", "y_proba")
+    own.repartitionByRange("user_id").sortWithinPartitions("user_id").write.mode("errorifexists").parquet(path)
+
+
+def read_result_csv(spark: SparkSession, folder: str, columns: dict[str, str]) -> DataFrame:
+    """Result tables of a folder as CSV with a header: files named eval_*m* if there are any, else *m*. columns: names and types."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for pattern in ("eval_*m*.csv", "*m*.csv"):
+        found = sorted(str(x.getPath()) for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(where, pattern)))
+        if found:
+            return spark.read.option("header", "true").schema(", ".join(f"`{k}` {v}" for k, v in columns.items())).csv(found)
+    raise FileNotFoundError(f"no result table in {folder}")
+
+
+def all_nullable(kind: T.DataType) -> T.DataType:
+    """The type with every field and element nullable, whatever its depth."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, all_nullable(f.dataType), True, f.metadata) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(all_nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(all_nullable(kind.keyType), all_nullable(kind.valueType), True)
+    return kind

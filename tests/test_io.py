@@ -65,3 +65,32 @@ def test_stream_resumes(spark, tmp_path):
     rows.write.mode("append").parquet(source)
     S.run_once(S.event_stream(spark, source, rows.schema), sink, mark)
     assert spark.read.parquet(sink).count() == 10
+
+
+def test_masks_by_folder(spark, tmp_path):
+    path = str(tmp_path / "masks")
+    rows = lambda split, scenario, n: spark.range(n).selectExpr("id AS cell", f"'{split}' AS split", f"'{scenario}' AS scenario")
+    T.write_masks(rows("test", "a", 3).union(rows("train", "a", 4)), path)
+    T.write_masks(rows("test", "b", 5), path)
+    assert [T.read_masks(spark, path, *x).count() for x in ((), ("test",), ("test", "b"), (None, "a"))] == [12, 8, 5, 7]
+
+
+def test_window_index_and_predictions(spark, tmp_path):
+    T.write_window_index(spark.sql("SELECT 1 AS u, array(0, 2) AS day_offsets, double('NaN') AS share"), str(tmp_path / "w"))
+    assert tuple(spark.read.parquet(str(tmp_path / "w")).first()) == (1, [0, 2], None)
+    rows = spark.createDataFrame([("b", 1.0, 0.5), ("a", 0.0, 0.49)], "user_id string, y_true double, prediction double")
+    T.write_task_predictions(rows, str(tmp_path / "p"), "binary")
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {("a", 0.0, 0.0, 0.49), ("b", 1.0, 1.0, 0.5)}
+
+
+def test_result_csv(spark, tmp_path):
+    (tmp_path / "many.csv").write_text("k,v\na,1\n")
+    read = lambda: [tuple(r) for r in T.read_result_csv(spark, str(tmp_path), {"k": "string", "v": "int"}).collect()]
+    assert read() == [("a", 1)]
+    (tmp_path / "eval_my.csv").write_text("k,v\nb,2\n")
+    assert read() == [("b", 2)]
+
+
+def test_all_nullable(spark):
+    kind = spark.sql("SELECT named_struct('a', array(1), 'b', map('x', 2)) AS s").schema
+    assert "False" not in str(T.all_nullable(kind))

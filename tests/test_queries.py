@@ -16,6 +16,19 @@ def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_probes_on_held_out_labels(spark):
+    """Held-out documents against their labels: better than the commonest class or the mean."""
+    sf = "/root/testdata/sf0.1"
+    binary, regression, ordinal = (QUERIES[f"probe_{k}"](spark, sf).collect() for k in ("binary", "regression", "ordinal"))
+    share = sum(r.y for r in binary) / len(binary)
+    right = sum((r.p >= 0.5) == (r.y == 1) for r in binary) / len(binary)
+    mean = sum(r.z for r in regression) / len(regression)
+    left = sum((r.z - r.p) ** 2 for r in regression) / sum((r.z - mean) ** 2 for r in regression)
+    common = max(sum(r.level == k for r in ordinal) for k in {r.level for r in ordinal}) / len(ordinal)
+    hit = sum(r.level == r.p for r in ordinal) / len(ordinal)
+    assert right > max(share, 1 - share) + 0.05 and left < 0.7 and hit > common + 0.03, (right, share, left, hit, common)
+
+
 def test_entry(spark):
     import __spark_entry__
 
