@@ -7,10 +7,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Normalizer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +76,26 @@ def _binary(train: DataFrame, test: DataFrame, at: str, label: str, reg: float,
     return model.transform(test).withColumn(out, vector_to_array("_prob")[1]).drop("_prob", "_raw", "_hard")
 
 
+def tree_probe(train: DataFrame, test: DataFrame, features: str, label: str, kind: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42) -> DataFrame:
+    """Predictions for `test` of boosted trees over an array column: binary gives a probability, regression a value.
+
+    Missing features are a value of their own below all others. Rows without a label do not train; without any the
+    prediction is NULL.
+    """
+    if kind not in ("binary", "regression"):
+        raise ValueError(f"unknown kind {kind!r}")
+    low = F.lit(-1e30)
+    vectors = lambda frame: frame.withColumn("_v", array_to_vector(F.transform(features, lambda x: F.coalesce(F.nanvl(x.cast("double"), low), low))))
+    known = vectors(train.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("double"))
+    if known.first() is None:
+        return test.withColumn("prediction", F.lit(None).cast("double"))
+    common = {"featuresCol": "_v", "labelCol": "_y", "maxIter": rounds, "maxDepth": depth, "stepSize": rate, "seed": seed}
+    if kind == "regression":
+        return GBTRegressor(**common, predictionCol="prediction").fit(known).transform(vectors(test)).drop("_v")
+    model = GBTClassifier(**common, predictionCol="_hard").setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(known)
+    return model.transform(vectors(test)).withColumn("prediction", vector_to_array("_prob")[1]).drop("_v", "_prob", "_raw", "_hard")
+
+
 def functional_components(profiles: DataFrame, key: list[str], column: str, k: int = 4) -> DataFrame:
     """Scores of day profiles on their principal components; a component's largest loading is positive."""
     v = profiles.withColumn("_v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))

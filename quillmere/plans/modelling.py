@@ -44,6 +44,13 @@ def probe_ordinal(spark, d):
     return ML.linear_probe(e.where("train"), e.where("NOT train"), "x", "level", "ordinal", unit=True).select("doc_id", "level", F.col("prediction").cast("int").alias("p"))
 
 
+@query("probe_trees")
+def probe_trees(spark, d):
+    """Probability that a document is of quality, by boosted trees."""
+    e = _described(spark, d)
+    return ML.tree_probe(e.where("train"), e.where("NOT train"), "x", "y", "binary").select("doc_id", "y", tidy(F.col("prediction"), 4).alias("p"))
+
+
 @query("profile_components")
 def profile_components(spark, d):
     """Principal components of day profiles, signs fixed."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmere.plans import daily, days, modelling, more, tracks  # noqa: F401  (they register their queries)
+from quillmere.plans import daily, days, modelling, more, tracks, windows  # noqa: F401  (they register their queries)
 from quillmere.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "paired_skill"

@@ -29,6 +29,13 @@ def test_probes_on_held_out_labels(spark):
     assert right > max(share, 1 - share) + 0.05 and left < 0.7 and hit > common + 0.03, (right, share, left, hit, common)
 
 
+def test_trees_on_held_out_labels(spark):
+    rows = QUERIES["probe_trees"](spark, "/root/testdata/sf0.1").collect()
+    share = sum(r.y for r in rows) / len(rows)
+    assert all(0 <= r.p <= 1 for r in rows)
+    assert sum((r.p >= 0.5) == (r.y == 1) for r in rows) / len(rows) > max(share, 1 - share) + 0.05
+
+
 def test_entry(spark):
     import __spark_entry__
 
