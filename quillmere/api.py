@@ -41,14 +41,16 @@ class Results:
         skill = L.balanced_skill(self.skill, [["method", *task], ["method"]]).select("method", "skill")
         return skill.join(L.mean_up(self.ranks, [["method"]], "mean_rank"), "method", "full")
 
-    def to_csv(self, path: str) -> None:
-        self.to_dataframe().write.mode("overwrite").option("header", "true").csv(path)
+    def to_csv(self, path: str, mode: str = "errorifexists") -> None:
+        """Skill and ranks; what is at the path stays unless mode says otherwise. The same holds for the other two."""
+        self.to_dataframe().write.mode(mode).option("header", "true").csv(path)
 
-    def to_json(self, path: str) -> None:
-        self.to_dataframe().write.mode("overwrite").json(path)
+    def to_json(self, path: str, mode: str = "errorifexists") -> None:
+        self.to_dataframe().write.mode(mode).json(path)
 
-    def to_parquet(self, path: str) -> None:
-        self.errors.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    def to_parquet(self, path: str, mode: str = "errorifexists") -> None:
+        """Errors by unit."""
+        self.errors.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def _results(errors: DataFrame, tasks: list[str], baseline: str, subgroups: DataFrame | None) -> Results:
@@ -79,7 +81,7 @@ def evaluate_forecasting(series: DataFrame, horizon: int, season: int, models: d
     naive = I.seasonal_naive(series, keys, "step", "v", "start", horizon, season).withColumn("method", F.lit("seasonal_naive"))
     rows = naive.select(*keys, "ahead", "pred", "method")
     for name, predict in (models or {}).items():
-        rows = rows.unionByName(ML.forecast_with(series, keys, "step", "v", "start", horizon, predict, name).select(*rows.columns))
+        rows = rows.unionByName(ML.forecast_with(series, keys, "step", "v", "start", horizon, predict, name, season).select(*rows.columns))
     truth = series.where(F.col("step") >= F.col("start")).select(*keys, (F.col("step") - F.col("start")).cast("int").alias("ahead"), "v")
     errors = rows.join(truth, [*keys, "ahead"]).groupBy("method", *keys).agg(F.avg(F.abs(F.col("v") - F.col("pred"))).alias("e"))
     return _results(errors, ["channel"], "seasonal_naive", subgroups)

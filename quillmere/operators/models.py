@@ -169,8 +169,12 @@ def impute_with(cells: DataFrame, keys: list[str], order: str, value: str, maske
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
 
-def forecast_with(series: DataFrame, keys: list[str], order: str, value: str, start: str, horizon: int, predict: Callable[[np.ndarray, int], np.ndarray], name: str) -> DataFrame:
-    """A row per key and hour ahead by a function of (history, horizon); the history is gap-filled with NaN up to the start."""
+def forecast_with(series: DataFrame, keys: list[str], order: str, value: str, start: str, horizon: int, predict: Callable[[np.ndarray, int], np.ndarray], name: str, season: int = 1) -> DataFrame:
+    """A row per key and hour ahead by a function of (history, horizon); the history is gap-filled with NaN up to the start.
+
+    Where its answer is not finite the value one season before stands in (that of the last season of the history, again and
+    again), else the last known value, else 0, and the row is flagged.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ahead int, pred double, is_fallback boolean, method string"
 
@@ -185,7 +189,11 @@ def forecast_with(series: DataFrame, keys: list[str], order: str, value: str, st
             raise ValueError(f"{name}: expected {horizon} values, got shape {got.shape}")
         bad = ~np.isfinite(got)
         last = history[np.isfinite(history)][-1] if np.isfinite(history).any() else 0.0
+        cycle = np.full(season, np.nan)
+        cycle[max(0, season - len(history)) :] = history[-season:]
+        naive = np.resize(cycle, horizon)
+        naive = np.where(np.isfinite(naive), naive, last)
         head = {k: [pdf[k].iloc[0]] * horizon for k in keys}
-        return pd.DataFrame({**head, "ahead": np.arange(horizon, dtype="int32"), "pred": np.where(bad, last, got), "is_fallback": bad, "method": name})
+        return pd.DataFrame({**head, "ahead": np.arange(horizon, dtype="int32"), "pred": np.where(bad, naive, got), "is_fallback": bad, "method": name})
 
     return series.groupBy(*keys).applyInPandas(run, schema)
