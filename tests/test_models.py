@@ -77,3 +77,26 @@ def test_results_do_not_overwrite(spark, sf, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         got.to_csv(str(tmp_path / "r"))
     got.to_csv(str(tmp_path / "r"), mode="overwrite")
+
+
+def test_own_forecaster_against_the_seasonal_one(spark, sf):
+    rows = []
+    for (user, channel), own in _series(spark, sf).toPandas().groupby(["user_id", "channel"]):
+        values = own.set_index("step").v
+        past, truth = values[values.index < 24], values[(values.index >= 24) & (values.index < 30)]
+        if not len(truth):
+            continue
+        history = past.reindex(range(int(past.index.min()), 24)).to_numpy() if len(past) else np.array([])
+        mean = past.mean() if len(past) else 0.0
+        same = lambda k: past[[s for s in past.index if s >= 24 - 49 and (s - 24 - k) % 7 == 0]].sort_index()
+        naive = {k: same(k).iloc[-1] if len(same(k)) else mean for k in range(6)}
+        own_way = ML.holt_winters(history, 6, 7)
+        for method, pred in (("seasonal_naive", naive), ("smoothing", own_way)):
+            rows.append((method, channel, user, np.mean([abs(v - pred[s - 24]) for s, v in truth.items()])))
+    errors = pd.DataFrame(rows, columns=["method", "channel", "user_id", "e"]).set_index(["method", "channel", "user_id"]).e
+    base = errors["seasonal_naive"]
+    ratio = (errors["smoothing"][base > 0] / base[base > 0]).clip(0.01, 100)
+    want = 1 - np.exp(np.log(ratio).groupby("channel").mean().mean())
+    got = QUERIES["evaluate_forecasting"](spark, sf).toPandas().set_index("method")
+    assert got.skill["smoothing"] == pytest.approx(want, abs=1e-5)
+    assert got.mean_rank.sum() == pytest.approx(3)
