@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from quillmere.functions.columns import array_total, circular_sums, first_index, ratio
 
 
-def day_profile(rows: DataFrame, keys: list[str], hour: Column, value: str, period: int = 24) -> DataFrame:
-    """A key's sums by hour of day as one array; hours without rows are 0."""
-    sums = rows.withColumn("_h", hour).groupBy(*keys, "_h").agg(F.sum(value).alias("_v"))
+def day_profile(rows: DataFrame, keys: list[str], hour: Column, value: str, period: int = 24, order: list[str] | None = None) -> DataFrame:
+    """A key's sums by hour of day as one array; hours without rows are 0.
+
+    With `order` each hour is added up row by row in that order. Sums of doubles depend on the order in their last bits, so
+    without it two hours of equal totals may compare either way, as rows happen to be dealt.
+    """
+    rows = rows.withColumn("_h", hour)
+    if order:
+        w = Window.partitionBy(*keys, "_h").orderBy(*order)
+        running = rows.withColumn("_r", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+        sums = running.groupBy(*keys, "_h").agg(F.max_by("_r", "_n").alias("_v"))
+    else:
+        sums = rows.groupBy(*keys, "_h").agg(F.sum(value).alias("_v"))
     by = F.map_from_entries(F.collect_list(F.struct("_h", "_v")))
     filled = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda h: F.coalesce(F.try_element_at(F.col("_m"), h.cast("long")), F.lit(0.0)))
     return sums.groupBy(*keys).agg(by.alias("_m")).select(*keys, filled.alias("profile"))

@@ -305,7 +305,8 @@ def npcra(spark, d):
 
 @query("acrophase", f"WITH {_PROFILE} SELECT user_id, arg_max(h, struct_pack(a := v, b := -h)) AS acrophase FROM g GROUP BY 1 HAVING sum(v) > 0")
 def acrophase(spark, d):
-    got = FT.day_profile(events(spark, d), ["user_id"], F.pmod("hour_idx", F.lit(24)), "value")
+    """Hours are compared bit by bit, so they are added up in the order of the table, as the SQL does on one thread."""
+    got = FT.day_profile(events(spark, d).where("user_id IS NOT NULL"), ["user_id"], F.pmod("hour_idx", F.lit(24)), "value", order=["event_id"])
     return got.select("user_id", FT.circadian(F.col("profile"))["acrophase"].cast("long").alias("acrophase")).where("acrophase IS NOT NULL")
 
 
