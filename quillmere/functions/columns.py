@@ -83,7 +83,11 @@ def age_band(age: Column, young: str = "unknown") -> Column:
 
 
 def whole_years(start: Column, end: Column) -> Column:
-    return F.floor(F.months_between(end, start) / 12).cast("int")
+    """Birthdays of one date up to another; negative, and as many, where end comes first. That of 29 February comes on 1 March in common years."""
+    early, late = F.least(start, end), F.greatest(start, end)
+    place = lambda d: F.month(d) * 32 + F.dayofmonth(d)
+    years = F.year(late) - F.year(early) - (place(late) < place(early)).cast("int")
+    return F.when(end < start, -years).when(end >= start, years)
 
 
 def skill_ratio(error: Column, base: Column, low: float = 0.01, high: float = 100.0) -> Column:

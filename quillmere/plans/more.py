@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmere.functions.columns import geomean, nearest_quantile, ratio, skill_ratio, tidy
+from quillmere.functions.columns import geomean, nearest_quantile, ratio, skill_ratio, tidy, whole_years
 from quillmere.operators import impute as I
 from quillmere.operators import leaderboard as L
 from quillmere.operators import metrics as M
@@ -241,7 +241,7 @@ def safe_names(spark, d):
 @query("age_at_sample", "SELECT o_orderkey, date_part('year', age(o_orderdate::DATE, DATE '1960-05-17' + (o_custkey % 9000)::INT))::INTEGER AS age FROM orders")
 def age_at_sample(spark, d):
     birth = F.date_add(F.lit("1960-05-17").cast("date"), (F.col("o_custkey") % 9000).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.floor(F.months_between(F.col("o_orderdate").cast("date"), birth) / 12).cast("int").alias("age"))
+    return table(spark, d, "orders").select("o_orderkey", whole_years(birth, F.col("o_orderdate").cast("date")).alias("age"))
 
 
 @query("geomean_by_type", "SELECT p_type, round(exp(avg(ln(p_retailprice))), 4) AS price, round(median(p_size), 4)::DOUBLE AS size FROM part WHERE p_retailprice > 0 GROUP BY 1")
