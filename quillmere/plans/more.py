@@ -156,13 +156,18 @@ def split_ratio_check(spark, d):
 
 @query("hash_split", f"WITH {EVENTS}, u AS (SELECT DISTINCT user_id FROM ev), r AS (SELECT user_id, row_number() OVER (ORDER BY {mask_sql("user_id")}, user_id) AS i, count(*) OVER () AS n FROM u) SELECT user_id, CASE WHEN i <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN i <= greatest(1, floor(n * 0.7)) + greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'test' END AS split FROM r")
 def hash_split(spark, d):
-    """Exact shares in hash order: ranks come from counts of the 1000 hash values, not from one global window."""
-    u = events(spark, d).select("user_id").distinct().withColumn("h", I.mask_hash(F.col("user_id")))
+    """Exact shares in hash order: ranks come from counts of the 1000 hash values, not from one global window; a user that is null comes last.
+
+    Shares are decimals, as in the SQL: 0.7 of 90 users are 63, in doubles 62.
+    """
+    h = F.when(F.col("user_id").isNull(), F.lit(1000)).otherwise(I.mask_hash(F.col("user_id")))
+    u = events(spark, d).select("user_id").distinct().withColumn("h", h)
     sizes = u.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a thousand rows at most
+    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 1001 rows at most
     total = sizes.agg(F.sum("c").alias("n"))
     ranked = u.join(before.select("h", "b"), "h").withColumn("i", F.col("b") + F.row_number().over(Window.partitionBy("h").orderBy("user_id"))).crossJoin(total)
-    a, v = F.greatest(F.lit(1), F.floor(F.col("n") * 0.7)), F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
+    share = lambda tenths: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(tenths).cast("decimal(2,1)")))
+    a, v = share("0.7"), share("0.1")
     return ranked.select("user_id", F.when(F.col("i") <= a, "train").when(F.col("i") <= a + v, "validation").otherwise("test").alias("split"))
 
 
